@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import packing, pieces, sharding
 from .common import documents
 
 
@@ -23,5 +23,40 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing,)}
-SQL: dict[str, str] = {}
+def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    return pieces.digest(pieces.encode(documents(spark, sf_dir), path), path)
+
+
+#: Bytes a shard may hold in op9.
+SHARD_BYTES = 1 << 20
+
+
+def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.with_sizes(sharding.assign(documents(spark, sf_dir), SHARD_BYTES))
+
+
+OP9_SQL = f"""
+WITH d AS (
+  SELECT doc_id, COALESCE(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+         lpad(bin(('0x' || substr(md5(COALESCE(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT), 60, '0') AS k
+  FROM documents),
+b AS (
+  SELECT depth, substr(k, 1, depth) AS p, sum(n_bytes) AS s, min(k) = max(k) AS one
+  FROM d, range(0, 61) t(depth) GROUP BY ALL),
+leaf AS (
+  SELECT d.doc_id, d.n_bytes, d.k, min(b.depth)::INTEGER AS depth
+  FROM d JOIN b ON b.p = substr(d.k, 1, b.depth) WHERE b.s <= {SHARD_BYTES} OR b.one GROUP BY ALL)
+SELECT doc_id, n_bytes, substr(k, 1, depth) AS shard, depth, 0::BIGINT AS page,
+       sum(n_bytes) OVER (PARTITION BY substr(k, 1, depth))::BIGINT AS shard_bytes,
+       count(*) OVER (PARTITION BY substr(k, 1, depth)) AS shard_rows
+FROM leaf
+"""
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op8_piece_encoding, op9_extendible_sharding, op10_token_counts)}
+SQL: dict[str, str] = {"op9_extendible_sharding": OP9_SQL}
