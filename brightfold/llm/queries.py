@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pieces, sharding
+from . import packing, pieces, sharding, toxicity
 from .common import documents
 
 
@@ -19,6 +19,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
@@ -58,5 +63,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op8_piece_encoding, op9_extendible_sharding, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op6_best_fit_packing, op8_piece_encoding, op9_extendible_sharding, op10_token_counts)}
 SQL: dict[str, str] = {"op9_extendible_sharding": OP9_SQL}
