@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pieces, sharding, toxicity
+from . import packing, pieces, secrets, sharding, toxicity
 from .common import documents
 
 
@@ -19,6 +20,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.train(secrets.findings(spark))
+    found = secrets.scan(documents(spark, sf_dir), forest)
+    return found.select("doc_id", "start", "length", F.crc32(F.col("candidate")).alias("candidate_crc32"), "score", "is_secret")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -63,5 +70,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op6_best_fit_packing, op8_piece_encoding, op9_extendible_sharding, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_toxicity, op6_best_fit_packing, op8_piece_encoding, op9_extendible_sharding, op10_token_counts)}
 SQL: dict[str, str] = {"op9_extendible_sharding": OP9_SQL}
