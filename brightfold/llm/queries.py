@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, secrets, sharding, toxicity
+from . import neardup, packing, pieces, secrets, sharding, toxicity
 from .common import documents
 
 
@@ -26,6 +26,30 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32(F.col("candidate")).alias("candidate_crc32"), "score", "is_secret")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups(neardup.numbered(documents(spark, sf_dir)), k=2)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+OP2_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) = 1 THEN ws
+         ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT r.d, e.b FROM r JOIN e ON r.c = e.a),
+m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
+SELECT doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, doc_id = m.c AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN m ON m.d = doc_id
+"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -70,5 +94,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_toxicity, op6_best_fit_packing, op8_piece_encoding, op9_extendible_sharding, op10_token_counts)}
-SQL: dict[str, str] = {"op9_extendible_sharding": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_near_duplicates, op3_toxicity, op6_best_fit_packing, op8_piece_encoding, op9_extendible_sharding, op10_token_counts)}
+SQL: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op9_extendible_sharding": OP9_SQL}

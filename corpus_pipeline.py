@@ -1,6 +1,45 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: toxicity, near-duplicates, secrets, packing.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs; all but
+the last return the columns of documents. Toxic documents go; of each group of near-duplicates (five-word shingles, similarity 0.8 or
+more) the one of least id stays; secrets are replaced in the text; what is left is packed into sequences of 4096 tokens.
+"""
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brightfold.llm import neardup, packing, secrets, toxicity
+from brightfold.llm.common import documents, stage
+from brightfold.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = secrets.redact(docs, secrets.train(secrets.findings(spark)))
+    return clean.withColumn("n_chars", F.when(F.col("text").contains(secrets.REDACTED), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("secrets", redact_secrets), ("packing", pack_sequences)]
+#: SQL can't express the regression, the forest or the packer; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, apply in STAGES[:-1]:
+        docs, _ = stage(apply(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
