@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, pieces, secrets, sharding, toxicity
+from . import neardup, packing, pieces, secrets, sharding, toxicity, vectors
 from .common import documents
 
 
@@ -55,10 +55,30 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     return pieces.digest(pieces.encode(documents(spark, sf_dir), path), path)
@@ -94,5 +114,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_near_duplicates, op3_toxicity, op6_best_fit_packing, op8_piece_encoding, op9_extendible_sharding, op10_token_counts)}
-SQL: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op9_extendible_sharding": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_near_duplicates, op3_toxicity, op5_exact_top_k, op6_best_fit_packing, op7_approximate_nearest, op8_piece_encoding, op9_extendible_sharding, op10_token_counts)}
+SQL: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op9_extendible_sharding": OP9_SQL}
