@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, pieces, secrets, sharding, toxicity, vectors
+from . import katz, neardup, packing, pieces, secrets, sharding, toxicity, vectors
 from .common import documents
 
 
@@ -55,6 +55,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(documents(spark, sf_dir))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -114,5 +118,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_near_duplicates, op3_toxicity, op5_exact_top_k, op6_best_fit_packing, op7_approximate_nearest, op8_piece_encoding, op9_extendible_sharding, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_near_duplicates, op3_toxicity, op4_katz_scores, op5_exact_top_k, op6_best_fit_packing, op7_approximate_nearest, op8_piece_encoding, op9_extendible_sharding, op10_token_counts)}
 SQL: dict[str, str] = {"op2_near_duplicates": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op9_extendible_sharding": OP9_SQL}
