@@ -6,10 +6,13 @@ bins + j puts every shingle into place j, so all fill. Long sets need one round,
 about the sets' similarity. Bands of `rows` places are the candidate keys.
 
 1. Rows with equal sets become one node (the least row of the set), by hash of the set.
-2. In each bucket of a band every node is compared with two leaders only, exactly, on full sets; found links are merged.
-3. Buckets that still hold several components are compared across them: sketches (a byte a place) in blocks first, then
-   exactly, on full sets. Pairs within a component change nothing and are never made, so a group of copies costs as many
-   rows as it has members. What the sketch test drops has an estimate 0.12 under the threshold, over five standard errors.
+2. Every node is compared with the first and the last leader (least node by hash) of its buckets, exactly, on full sets; found links are
+   merged. This is only to keep the next step small.
+3. In buckets that hold several components, sketches (a byte a place) are compared across components, in blocks; components with a
+   pair whose estimate is not 0.12 under the threshold (five standard errors) are one family, of which a bucket gives a spanning forest.
+4. Within a family of several components all members of different components are compared exactly, on full sets, in cells of two blocks
+   of members; blocks of one large component are not compared with each other. Only links that join components are returned.
+   Pairs are never rows, so a group of copies costs as many rows as it has members, times the blocks it must be compared with.
 
 A pair at the threshold shares no band with probability (1 - s^rows)^bands: 5e-7 at 0.8 with 48 bands of 6.
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, mix, pick, shingles, stage, unstage, words
 
-BANDS, ROWS, SLACK, BLOCK = 48, 6, 0.12, 1024
+BANDS, ROWS, SLACK, BLOCK, CELL = 48, 6, 0.12, 1024, 512
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -131,51 +134,124 @@ def components(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, list[s
             return labels.withColumnRenamed("label", "component"), [path]
 
 
-def blocks(members: DataFrame, percent: int, bins: int) -> DataFrame:
-    """Pairs of nodes of different components in one bucket whose sizes and sketches allow a link.
+def by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups of rows that arrive sorted by keys, one at a time."""
+    held: list[pd.DataFrame] = []
+    for x in batches:
+        key = x[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(x)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and (held[-1][keys].to_numpy()[-1] != key[a]).any():
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            if a < b:
+                held.append(x.iloc[a:b])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+class Forest:
+    """Merges labels; add() tells whether it joined two trees."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = x
+        while (nxt := self.up.get(root, root)) != root:
+            root = nxt
+        while x != root:
+            self.up[x], x = root, self.up.get(x, x)
+        return root
+
+    def add(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def near_components(members: DataFrame, percent: int, bins: int) -> DataFrame:
+    """Pairs of components, of every bucket a spanning forest of those with members whose sizes and sketches allow a link.
     members: bucket, size, node, component, n, low. Buckets over BLOCK members are compared block by block."""
     parts = F.expr(f"greatest(1, (size + {BLOCK} - 1) div {BLOCK})")
-    own = F.pmod(F.xxhash64("node"), parts)
-    cells = F.when(parts == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(F.expr("transform(sequence(0L, parts - 1), j -> named_struct('i', least(j, own), 'j', greatest(j, own)))"))
-    rows = members.withColumn("parts", parts.cast("long")).withColumn("own", own.cast("long")).withColumn("cell", F.explode(cells))
-    rows = rows.select("bucket", "cell.i", "cell.j", "own", "node", "component", "n", "low")
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    cells = F.expr("if(parts = 1, array(named_struct('i', 0L, 'j', 0L)), transform(sequence(0L, parts - 1), j -> named_struct('i', least(j, own), 'j', greatest(j, own))))")
+    rows = members.withColumn("parts", parts.cast("long")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("long")).withColumn("cell", F.explode(cells))
+    rows = rows.select("bucket", "cell.i", "cell.j", "own", "component", "n", "low")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     least = percent / 100 - SLACK
 
-    def found(x: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of whole groups of rows."""
-        key = x[["bucket", "i", "j"]].to_numpy()
-        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
-        node, comp, n, own = (x[c].to_numpy() for c in ("node", "component", "n", "own"))
-        low = np.frombuffer(b"".join(x["low"]), np.uint8).reshape(len(x), bins)
-        out = []
-        for a, b in zip(first, np.append(first[1:], len(x))):
-            for s in range(a, b, 256):  # 256 members of the group against all after them
-                i, j = np.meshgrid(np.arange(s, min(s + 256, b)), np.arange(s, b), indexing="ij")
-                # in a cell of two blocks, only pairs across them; each node is there once
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple[int, int]] = []
+        for x in by_group(batches, ["bucket", "i", "j"]):
+            comp, n, own = (x[c].to_numpy() for c in ("component", "n", "own"))
+            low = np.frombuffer(b"".join(x["low"]), np.uint8).reshape(len(x), bins)
+            across, forest = x["i"].iloc[0] != x["j"].iloc[0], Forest()
+            for s in range(0, len(x), 128):
+                i, j = np.meshgrid(np.arange(s, min(s + 128, len(x))), np.arange(s, len(x)), indexing="ij")
                 ok = (j > i) & (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-                ok &= (own[i] != own[j]) | (key[a, 1] == key[a, 2])
+                if across:  # pairs within a block are those of another cell
+                    ok &= own[i] != own[j]
                 i, j = i[ok], j[ok]
                 for c in range(0, len(i), 20_000):
                     p, q = i[c : c + 20_000], j[c : c + 20_000]
                     close = (low[p] == low[q]).mean(1) >= least
-                    out.append(np.column_stack([np.maximum(node[p[close]], node[q[close]]), np.minimum(node[p[close]], node[q[close]])]))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+                    pairs = np.unique(np.sort(np.column_stack([comp[p[close]], comp[q[close]]]), 1), axis=0)
+                    out += [(a, b) for a, b in pairs.tolist() if forest.add(a, b)]
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["a", "b"])
+                out = []
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return rows.mapInPandas(run, "a long, b long").distinct()
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = times[column] > 1
+    owner, column = owner[keep], column[keep]
+    _, column = np.unique(column, return_inverse=True)
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        lo, hi = np.searchsorted(column, [a, a + 2048])
+        x = np.zeros((len(sets), 2048), np.float32)
+        x[owner[lo:hi], column[lo:hi] - a] = 1
+        out += x @ x.T
+    return np.rint(out).astype(np.int64)
+
+
+def links_within(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each family that join them, from all pairs of members of different components.
+    members: family, component, node; texts: node, text."""
+    per = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    small = per.where(f"n < {CELL}").groupBy("family").agg(F.sum("n").alias("rest"))
+    # a large component has blocks of its own, small ones share blocks; a block's name starts with its component, or a mark for shared ones
+    placed = members.join(per, ["family", "component"]).join(small, "family", "left")
+    own = F.col("n") >= CELL
+    count = F.when(own, F.ceil(F.col("n") / CELL)).otherwise(F.ceil(F.col("rest") / CELL))
+    spread = F.when(own, F.xxhash64("node")).otherwise(F.xxhash64("component"))
+    placed = placed.select("family", "component", "node", F.when(own, F.col("component").cast("string")).otherwise("*").alias("whose"), F.pmod(spread, count).alias("part"))
+    blocks = placed.select("family", "whose", "part").distinct()
+    left, right = blocks.select("family", F.struct("whose", "part").alias("x")), blocks.select("family", F.struct("whose", "part").alias("y"))
+    cells = left.join(right, "family").where("x <= y AND (x.whose <> y.whose OR x.whose = '*')")
+    sides = cells.select("family", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).select("family", "x", "y", F.col("b.whose").alias("whose"), F.col("b.part").alias("part"))
+    rows = placed.join(sides, ["family", "whose", "part"]).join(texts.hint("merge"), "node")
+    rows = rows.select(F.xxhash64("family", "x", "y").alias("cell"), "component", "node", "text").repartition("cell").sortWithinPartitions("cell", "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for x in batches:
-            x = x if held is None else pd.concat([held, x], ignore_index=True)
-            last = (x[["bucket", "i", "j"]] == x[["bucket", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
-            cut = len(x) - int(last[::-1].argmin()) if not last.all() else 0
-            if cut:
-                yield found(x.iloc[:cut].reset_index(drop=True))
-            held = x.iloc[cut:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield found(held)
+        hashes = WordHashes()
+        for x in by_group(batches, ["cell"]):
+            sets = [shingles(hashes.array(words(t)), k) for t in x["text"]]
+            both, sizes = overlaps(sets), np.array([len(s) for s in sets])
+            comp, node, forest = x["component"].to_numpy(), x["node"].to_numpy(), Forest()
+            i, j = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes - both), 1) & (comp[:, None] != comp))
+            got = [(a, b) for a, b, c, d in zip(node[i].tolist(), node[j].tolist(), comp[i].tolist(), comp[j].tolist()) if forest.add(c, d)]
+            yield pd.DataFrame(got, columns=["a", "b"]).astype("int64")
 
-    return rows.mapInPandas(run, "a long, b long").distinct()
+    return rows.mapInPandas(run, "a long, b long")
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -196,33 +272,36 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
     def fitting(a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
-    stars = buckets.where(f"node != x.node AND {fitting('n', 'x.n')}").select(F.col("node").alias("a"), F.col("x.node").alias("b"))
-    stars = stars.union(buckets.where(f"node != y.node AND node != x.node AND {fitting('n', 'y.n')}").select(F.col("node").alias("a"), F.col("y.node").alias("b")))
-    stars, stars_at = stage(stars.distinct(), "stars")
+    # a node's first and last leader of all its buckets: at most two pairs a node
+    lead = buckets.groupBy("node", "n").agg(F.min("x").alias("x"), F.max("y").alias("y"))
+    stars = lead.where(f"node != x.node AND {fitting('n', 'x.n')}").select(F.col("node").alias("a"), F.col("x.node").alias("b"))
+    stars = stars.union(lead.where(f"node != y.node AND {fitting('n', 'y.n')}").select(F.col("node").alias("a"), F.col("y.node").alias("b")))
+    stars, stars_at = stage(stars, "stars")
 
-    def texts(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    def texts(used: DataFrame) -> DataFrame:
         return docs.select("row", "text").join(used, "row", "left_semi").dropDuplicates(["row"]).select(F.col("row").alias("node"), "text")
 
-    links, links_at = stage(verified(stars, texts(stars), k, percent), "links")
+    links, links_at = stage(verified(stars, texts(stars.select(F.col("a").alias("row")).union(stars.select(F.col("b").alias("row"))).distinct()), k, percent), "links")
     known, known_at = components(spark, links)
 
     labelled = buckets.join(known, "node", "left").select("bucket", "size", "node", F.coalesce("component", "node").alias("component"), "n")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
     open_ = labelled.join(mixed, "bucket", "left_semi").join(base.select(F.col("row").alias("node"), "low").dropDuplicates(["node"]), "node")
-    more = blocks(open_, percent, bands * rows)
-    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more, more_at = stage(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if more.take(1):
-        second, second_at = stage(verified(more, texts(more), k, percent), "links")
+    near, near_at = stage(near_components(open_, percent, bands * rows), "near")
+    if near.take(1):
+        family, family_at = components(spark, near)
+        family = family.select(F.col("node").alias("component"), F.col("component").alias("family"))
+        inside = members.where("n > 0").select("node").distinct().join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component")).join(family, "component")
+        inside, inside_at = stage(inside, "families")
+        second, second_at = stage(links_within(inside, texts(inside.select(F.col("node").alias("row"))), k, percent), "links")
         if second.take(1):
             known, at = components(spark, links.union(second))
             known_at += at
-        known_at.append(second_at)
+        known_at += [second_at, inside_at, *family_at]
     final = members.join(known, "node", "left").select("doc_id", "row", "n", F.coalesce("component", "node").alias("c"))
     least = final.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("f"))
     result, _ = stage(final.join(least, "c").select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("f.row")).alias("first")), "groups")
-    unstage(spark, base_at, members_at, buckets_at, stars_at, links_at, more_at, *known_at)
+    unstage(spark, base_at, members_at, buckets_at, stars_at, links_at, near_at, *known_at)
     return result
 
 
