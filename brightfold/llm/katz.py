@@ -10,8 +10,9 @@ How: texts become blocks of about a million tokens (a row each: vocabulary and t
 each order, a block sends its distinct n-grams with their counts, cut by the hash of their history into as many pieces as there are
 buckets; a bucket's task adds up the counts, writes its part of the n-gram table and answers each piece with counts, history
 totals and the sum of lower-order probabilities. A block then has all it needs for its tokens, order by order. A frequent
-word or n-gram is one entry a block, never a row a token; the number of buckets grows with that of blocks. Words and
-histories are known by 64-bit hashes.
+word or n-gram is one entry a block, never a row a token; the number of buckets grows with that of blocks. Words are known by
+64-bit hashes until the unigrams' buckets have numbered them, frequent ones first, so that n-grams compress; histories of
+several words are 64-bit hashes of their numbers.
 
 Defined results: null or empty text is its end token alone; a null id is in training (its remainder is null, not the held
 out one); equal rows are scored and counted each; an empty table gives an empty result; without training tokens every word is the
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mix, pick, stage, unstage, words
 
 CUT = 5
-END, START = np.uint64(1), np.uint64(2)  # the end token, and the place before a text
+END, START = np.uint64(1), np.uint64(0)  # the end token's hash, and the number of the place before a text
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -49,6 +50,19 @@ def _unzip(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
 
 
+def _zip_few(x: np.ndarray) -> bytes:
+    """_zip() of floats of which few may be different."""
+    values, at = np.unique(x, return_inverse=True)
+    if 4 * len(values) > len(x):
+        return b"\0" * 8 + _zip(x)
+    return len(values).to_bytes(8, "little") + values.tobytes() + _zip(at.astype(np.uint32))
+
+
+def _unzip_few(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(data[8 : 8 + 8 * n])[_unzip(data[8 + 8 * n :], np.uint32)] if n else _unzip(data[8:], np.float64)
+
+
 def blocks(docs: DataFrame, modulus: int, held: int, tokens: int) -> DataFrame:
     """block, and its documents' ids, sizes and flags (1: held out, 2: id is null), vocabulary and token numbers."""
 
@@ -119,57 +133,55 @@ class Block:
         self.train = np.repeat(self.flags & 1, self.sizes) == 0
 
     def history(self, order: int) -> np.ndarray:
-        """The hash of the order - 1 tokens before each token."""
+        """The number of the token before each token; for more tokens, a hash of their numbers."""
         h = np.zeros(len(self.word), np.uint64)
         with np.errstate(over="ignore"):
             for back in range(order - 1, 0, -1):
                 before = np.full(len(self.word), START)
-                before[back:] = self.word[:-back]
+                before[back:] = self.number[:-back]
                 before[self.place < back] = START
-                h = mix(h * np.uint64(31) + before)
+                h = before if order == 2 else mix(h * np.uint64(31) + before)
         return h
 
     def grams(self, order: int) -> tuple[np.ndarray, ...]:
         """Distinct n-grams by bucket, history and word: history, word, training count, a token that has it, each token's n-gram and the pieces' bounds."""
-        h = self.history(order)
+        h, word = self.history(order), self.word if order == 1 else self.number
         with np.errstate(over="ignore"):
-            code = mix(h ^ (self.word * np.uint64(0x9E3779B97F4A7C15)))
+            code = mix(mix(h) ^ (word * np.uint64(0x9E3779B97F4A7C15)))
         _, one, back = np.unique(code, return_index=True, return_inverse=True)
-        key = h[one] if order > 1 else mix(self.word[one])
+        key = mix(h[one]) if order > 1 else mix(word[one])
         bucket = ((key >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
-        by = np.lexsort((self.word[one], h[one], bucket))
+        by = np.lexsort((word[one], h[one], bucket))
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
         one, back = one[by], place[back]
         count = np.bincount(back, self.train, len(one)).astype(np.uint32)
-        return h[one], self.word[one], count, one, back, np.searchsorted(bucket[by], np.arange(self.buckets + 1))
+        return h[one], word[one], count, one, back, np.searchsorted(bucket[by], np.arange(self.buckets + 1))
 
 
 def _pack(order: int, h: np.ndarray, w: np.ndarray, c: np.ndarray, low: np.ndarray) -> tuple[bytes, ...]:
     start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    return h[start].tobytes(), _zip(np.diff(np.append(start, len(h))).astype(np.uint32)), (w & np.uint64(2**32 - 1)).astype(np.uint32).tobytes() + (w >> np.uint64(32)).astype(np.uint32).tobytes(), _zip(c), _zip(low) if order > 1 else b""
+    return _zip(h[start]), _zip(np.diff(np.append(start, len(h))).astype(np.uint32)), _zip(w), _zip(c), _zip_few(low) if order > 1 else b""
 
 
 def _unpack(r) -> tuple[np.ndarray, ...]:
-    h, size = np.frombuffer(r.h, np.uint64), _unzip(r.size, np.uint32).astype(np.int64)
-    half = np.frombuffer(r.w, np.uint32).reshape(2, -1).astype(np.uint64)
-    return h, size, half[0] | half[1] << np.uint64(32), _unzip(r.c, np.uint32)
+    return _unzip(r.h, np.uint64), _unzip(r.size, np.uint32).astype(np.int64), _unzip(r.w, np.uint64), _unzip(r.c, np.uint32)
 
 
 SENT = "block long, bucket int, h binary, size binary, w binary, c binary, low binary"
 GOT = f"block long, bucket int, h binary, size binary, w binary, c binary, low binary, {', '.join(f's{i} long' for i in range(CUT + 3))}"
 
 
-def tally(order: int):
+def tally(order: int, buckets: int):
     """The task of a bucket: pieces of n-grams in; out the bucket's part of the table (block -1) and an answer to each piece (c: counts;
-    low: each history's total, sum of lower probabilities and numbers of n-grams by count)."""
+    low: for unigrams the words' numbers, else each history's total, sum of lower probabilities and numbers of n-grams by count)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         pieces = [_unpack(r) for r in group.itertuples(index=False)]
         h = np.concatenate([np.repeat(p[0], p[1]) for p in pieces])
         w = np.concatenate([p[2] for p in pieces])
         c = np.concatenate([p[3] for p in pieces]).astype(np.int64)
-        low = np.concatenate([_unzip(x, np.float64) for x in group["low"]]) if order > 1 else np.zeros(len(h))
+        low = np.concatenate([_unzip_few(x) for x in group["low"]]) if order > 1 else np.zeros(len(h))
         by = np.lexsort((w, h))
         hs, ws = h[by], w[by]
         new = np.append(True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1]))
@@ -189,10 +201,14 @@ def tally(order: int):
         stats = [int((total == r).sum()) for r in range(1, CUT + 2)] + [int(total.sum()), int(seen.sum())]
         bucket = int(group["bucket"].iloc[0])
         out = [(-1, bucket, *_pack(1, th[seen], tw[seen], total[seen].astype(np.uint32), tl), *stats)]
+        number = np.empty(len(total), np.uint64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(total), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1)
+        numbers = np.empty(len(h), np.uint64)
+        numbers[by] = number[kind]
         known, i = th[hist], 0
         for block, p in zip(group["block"].tolist(), pieces):
             a = np.searchsorted(known, p[0])
-            parts = (b"", b"") if order == 1 else (_zip(np.concatenate([sums[a], lows[a]])), _zip(few[a].astype(np.uint32).reshape(-1)))
+            parts = (_zip(numbers[i : i + len(p[2])]), b"") if order == 1 else (_zip(np.concatenate([sums[a], lows[a]])), _zip(few[a].astype(np.uint32).reshape(-1)))
             out.append((int(block), bucket, b"", len(parts[0]).to_bytes(8, "little"), b"", _zip(answer[i : i + len(p[2])].astype(np.uint32)), b"".join(parts), *[0] * (CUT + 3)))
             i += len(p[2])
         return pd.DataFrame(out, columns=[x.split()[0] for x in GOT.split(", ")])
@@ -211,6 +227,7 @@ class Scorer:
         _, _, _, _, back, bounds = self.block.grams(1)
         c = self.counts(answers, bounds)[back]
         self.known = c
+        self.block.number = np.concatenate([_unzip(answers[b]["low"], np.uint64) for b in range(len(bounds) - 1) if bounds[b + 1] > bounds[b]])[back]
         if not total:
             return np.ones(len(c))
         d = Discounts(n)
@@ -280,7 +297,7 @@ def scores(docs: DataFrame, order: int = 2, modulus: int = 7, held: int = 2, tok
                     out = [(row.block, i, *_pack(m, h[a:z], w[a:z], c[a:z], low[a:z])) for i, (a, z) in enumerate(zip(bounds, bounds[1:])) if z > a]
                     yield pd.DataFrame(out, columns=["block", "bucket", "h", "size", "w", "c", "low"])
 
-        got, at = stage(joined(answers).mapInPandas(send, SENT).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(tally(m), GOT), f"{m}-grams")
+        got, at = stage(joined(answers).mapInPandas(send, SENT).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(tally(m, buckets), GOT), f"{m}-grams")
         sums = got.where("block = -1").agg(*[F.sum(f"s{i}") for i in range(CUT + 3)]).first()
         stats.append([int(x or 0) for x in sums])
         answers.append(got)
