@@ -89,8 +89,8 @@ def roman_number(s: str) -> Column:
 
 
 def first_single(s: str) -> Column:
-    """The first character that doesn't come again; null if there is none."""
-    return F.expr(f"try_element_at(filter(split({s}, ''), c -> length({s}) - length(replace({s}, c, '')) = 1), 1)")
+    """The first character, as lower case, that doesn't come again in either case; null if there is none."""
+    return F.expr(f"try_element_at(filter(split(lower({s}), ''), c -> length({s}) - length(replace(lower({s}), c, '')) = 1), 1)")
 
 
 def by_row(f: Callable, kind: str) -> Callable[..., Column]:
