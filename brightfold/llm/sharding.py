@@ -60,7 +60,7 @@ def assign(docs: DataFrame, limit: int, id_column: str = "doc_id", text_column:
     rows, _ = stage(rows, "shard-rows")
     placed, depth = rows, []
     for i, (bits, cells) in enumerate(directory(rows.select("key", "n_bytes"), limit)):
-        placed = placed.withColumn(f"c{i}", _prefix(bits)).join(cells.select(F.col("cell").alias(f"c{i}"), F.col("depth").alias(f"d{i}")), f"c{i}", "left")
+        placed = placed.withColumn(f"c{i}", _prefix(bits)).join(cells.select(F.col("cell").alias(f"c{i}"), F.col("depth").alias(f"d{i}")).hint("merge"), f"c{i}", "left")
         depth.append(F.col(f"d{i}"))
     placed = placed.select("doc_id", "n_bytes", "key", "uid", F.coalesce(*depth).alias("depth"))
     placed = placed.withColumn("shard", F.expr(f"left(lpad(bin(key), {BITS}, '0'), depth)"))
