@@ -109,23 +109,26 @@ def fit_grades(texts: list[np.ndarray], labels: np.ndarray, most_features: int =
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     if not len(texts) or len(set(labels.tolist())) < 2:
         return empty
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    features, cols, times = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(len(texts)), sizes)
-    least = 3 if len(texts) >= 1000 else 2
-    if (times >= least).sum() > most_features:
-        least = np.sort(times)[-most_features] + 1
-    keep = times >= least
-    if not keep.any():
+    everything = np.concatenate(texts)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in texts])
+    least, kept, base = 3 if len(texts) >= 1000 else 2, [], 0
+    for part in range(8):  # an eighth of the hashes at a time: few of them are kept
+        mine = everything >> np.uint64(61) == part
+        own = owner[mine]
+        found, cols, times = np.unique(everything[mine], return_inverse=True, return_counts=True)
+        keep = (times >= least) & telling(labels, own, cols, len(found), least_errors)
+        held = keep[cols]
+        kept.append((found[keep], times[keep], own[held], base + (np.cumsum(keep) - 1)[cols[held]]))
+        base += int(keep.sum())
+    del everything, owner
+    features, times, rows, cols = (np.concatenate(x) for x in zip(*kept))
+    if len(features) > most_features:  # the most frequent ones
+        keep = np.zeros(len(features), bool)
+        keep[np.argsort(-times, kind="stable")[:most_features]] = True
+        held = keep[cols]
+        features, rows, cols = features[keep], rows[held], (np.cumsum(keep) - 1)[cols[held]]
+    if not len(features):
         return empty
-    new = np.cumsum(keep) - 1
-    held = keep[cols]
-    rows, cols, features = rows[held], new[cols[held]], features[keep]
-    keep = telling(labels, rows, cols, len(features), least_errors)
-    if not keep.any():
-        return empty
-    new, held = np.cumsum(keep) - 1, keep[cols]
-    rows, cols, features = rows[held], new[cols[held]], features[keep]
     grades = graded(labels, rows, cols, len(features))
     k = int(grades.max())
     share = np.array([(grades >= i).mean() for i in range(1, k + 1)])
