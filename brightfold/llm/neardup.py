@@ -285,7 +285,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
     known, known_at = components(spark, links)
 
     labelled = buckets.join(known, "node", "left").select("bucket", "size", "node", F.coalesce("component", "node").alias("component"), "n")
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+    # near copies share many bands: of buckets with the same members (by size and two sums of hashes) one is enough
+    mark = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("m2")]
+    mixed = labelled.groupBy("bucket", "size").agg(*mark).where("lo != hi").groupBy("size", "m1", "m2").agg(F.min("bucket").alias("bucket")).select("bucket")
     open_ = labelled.join(mixed, "bucket", "left_semi").join(base.select(F.col("row").alias("node"), "low").dropDuplicates(["node"]), "node")
     near, near_at = stage(near_components(open_, percent, bands * rows), "near")
     if near.take(1):
