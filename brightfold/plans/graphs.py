@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs as op
 from ..sources import table
-from . import query
+from . import query, subset, whole
 
 LINKS = "g AS (SELECT DISTINCT l_partkey % 400 AS src, l_suppkey % 90 + 1000 AS dst FROM lineitem WHERE l_orderkey % 200 = 0), e AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g)"
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_orderkey % 200 = 0").select((F.col("l_partkey") % 400).alias("src"), (F.col("l_suppkey") % 90 + 1000).alias("dst")).distinct()
+    return subset(table(spark, d, "lineitem"), "l_orderkey % 200 = 0").select((F.col("l_partkey") % 400).alias("src"), (F.col("l_suppkey") % 90 + 1000).alias("dst")).distinct()
 
 
 REACH = f"WITH RECURSIVE {LINKS}, r(node, c) AS (SELECT src, src FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON r.c = e.src), k AS (SELECT node, min(c) AS component FROM r GROUP BY node)"
@@ -132,3 +132,6 @@ def euler_circuit(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame({"g": [x["g"].iloc[0]], "walk": [op.euler_circuit(sorted(zip(x["src"].tolist(), x["dst"].tolist())))]})
 
     return n.groupBy("g").applyInPandas(f, "g int, walk array<long>")
+
+
+whole("components", "is_tree", "actor_distance")
