@@ -17,14 +17,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node): labels take the least beside them, then jump to their label's label, so paths halve."""
+    """node, component (its least node): the nodes of a label take the least label beside any of them, then their label's."""
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("label")))
     while True:
         beside = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("beside"))
-        hooked = labels.join(beside, "node").select("node", "label", F.least("label", "beside").alias("new"))
-        far = hooked.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        done = cut(hooked.join(far, "new", "left").select("node", "label", F.coalesce("far", "new").alias("next")))
+        hooked = labels.join(beside, "node").groupBy("label").agg(F.min(F.least("label", "beside")).alias("new"))
+        far = hooked.select(F.col("label").alias("new"), F.col("new").alias("far"))
+        done = cut(labels.join(hooked.join(far, "new", "left").select("label", F.coalesce("far", "new").alias("next")), "label").select("node", "label", "next"))
         if not done.where("label <> next").take(1):
             return done.select("node", F.col("next").alias("component"))
         labels = done.select("node", F.col("next").alias("label"))

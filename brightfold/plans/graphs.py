@@ -105,7 +105,7 @@ ISLES = f"WITH RECURSIVE {CELLS}, k(id, m) AS (SELECT id, id FROM c UNION SELECT
 
 def isles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    c = table(spark, d, "part").where("p_partkey < 200").select(k.alias("id"), F.floor(k / 20).alias("r"), (k % 20).alias("c"), (F.col("p_size") % 3 > 0).cast("int").alias("v"))
+    c = subset(table(spark, d, "part"), "p_partkey < 200").select(k.alias("id"), F.floor(k / 20).alias("r"), (k % 20).alias("c"), (F.col("p_size") % 3 > 0).cast("int").alias("v"))
     lab = op.components(op.grid_edges(c)).withColumnRenamed("node", "id")
     return c.join(lab, "id", "left").select("id", "r", "c", "v", F.coalesce("component", "id").alias("isle"))
 
@@ -119,7 +119,8 @@ def count_islands(spark: SparkSession, d: str) -> DataFrame:
 def surrounded_regions(spark: SparkSession, d: str) -> DataFrame:
     """Zeros that no zero links to the border become ones."""
     i = isles(spark, d)
-    border = i.where("v = 0 AND (r IN (0, 9) OR c IN (0, 19))").select("isle").distinct().withColumn("open", F.lit(1))
+    last = i.agg(F.max("r").alias("last"))
+    border = i.crossJoin(F.broadcast(last)).where("v = 0 AND (r IN (0, last) OR c IN (0, 19))").select("isle").distinct().withColumn("open", F.lit(1))
     return i.join(border, "isle", "left").select("id", F.when((F.col("v") == 0) & F.col("open").isNull(), 1).otherwise(F.col("v")).alias("v"))
 
 
@@ -134,4 +135,4 @@ def euler_circuit(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("g").applyInPandas(f, "g int, walk array<long>")
 
 
-whole("components", "is_tree", "actor_distance")
+whole("components", "is_tree", "actor_distance", "count_islands", "surrounded_regions")

@@ -11,12 +11,12 @@ from ..functions import numeric as fn
 from ..functions.strings import by_row
 from ..operators import puzzles
 from ..sources import table
-from . import query
+from . import query, subset, whole
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_orderkey + l_partkey AS total, l_partkey * l_suppkey AS product, (l_partkey - 1000) // (l_suppkey + 1) AS ratio FROM lineitem WHERE l_orderkey < 300 AND l_partkey >= 1000")
 def bit_arithmetic(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_orderkey < 300 AND l_partkey >= 1000").selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_orderkey + l_partkey AS total", "l_partkey * l_suppkey AS product", "(l_partkey - 1000) div (l_suppkey + 1) AS ratio")
+    return subset(table(spark, d, "lineitem").where("l_partkey >= 1000"), "l_orderkey < 300").selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_orderkey + l_partkey AS total", "l_partkey * l_suppkey AS product", "(l_partkey - 1000) div (l_suppkey + 1) AS ratio")
 
 
 @query("SELECT o_orderkey, floor(sqrt(o_orderkey))::BIGINT AS root, power(1.0 + o_orderkey / 100000.0, -3) AS cube FROM orders")
@@ -48,7 +48,7 @@ def long_bytes(spark: SparkSession, d: str) -> DataFrame:
 l AS (SELECT a.k, CASE WHEN b.x = a.x THEN NULL ELSE (b.y - a.y)::DOUBLE / (b.x - a.x) END AS slope, count(*) AS n FROM p a JOIN p b ON a.k <> b.k GROUP BY ALL) SELECT max(n) + 1 AS most FROM l""")
 def most_collinear(spark: SparkSession, d: str) -> DataFrame:
     """Points on one line: by anchor and slope (in lowest terms of its float), the anchor itself counted."""
-    p = table(spark, d, "supplier").where("s_suppkey < 60").selectExpr("s_suppkey AS k", "s_suppkey % 10 AS x", "(s_suppkey * 7) % 13 AS y")
+    p = subset(table(spark, d, "supplier"), "s_suppkey < 60").selectExpr("s_suppkey AS k", "s_suppkey % 10 AS x", "(s_suppkey * 7) % 13 AS y")
     a, b = p.selectExpr("k AS k1", "x AS x1", "y AS y1"), p
     lines = a.join(b, F.col("k1") != F.col("k")).groupBy("k1", F.expr("if(x = x1, null, double(y - y1) / (x - x1))").alias("slope")).agg(F.count("*").alias("n"))
     return lines.agg((F.max("n") + 1).alias("most"))
@@ -165,7 +165,7 @@ def sliding_puzzle(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def twenty_four(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").selectExpr("p_partkey", "array(p_size % 13 + 1, p_partkey % 13 + 1, p_partkey % 7 + 1, p_size % 5 + 1) AS v").where("p_partkey < 200")
+    p = table(spark, d, "part").selectExpr("p_partkey", "array(p_size % 13 + 1, p_partkey % 13 + 1, p_partkey % 7 + 1, p_size % 5 + 1) AS v")
     return p.select("p_partkey", by_row(lambda v: puzzles.reaches([int(x) for x in v], 24), "boolean")("v").alias("ok"))
 
 
@@ -177,3 +177,4 @@ def grid_games(spark: SparkSession, d: str) -> DataFrame:
     return g.select("g", one(puzzles.ones_rectangle)("v").alias("rectangle"), one(puzzles.ones_cross)("v").alias("cross"))
 
 
+whole("bit_arithmetic", "most_collinear")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sequences as op
 from ..sources import table
-from . import query
+from . import query, subset, whole
 
 ORDER = ["ts", "event_id"]
 CENTS = "e AS (SELECT user_id, event_id, ts, round(value * 100)::BIGINT AS v FROM events)"
@@ -108,7 +108,7 @@ GRID = "g AS (SELECT s_suppkey // 10 AS r, s_suppkey % 10 AS c, (s_suppkey * 791
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, d, "supplier").where("s_suppkey < 100").select(F.floor(k / 10).alias("r"), (k % 10).alias("c"), ((k * 7919) % 23 - 11).alias("v"))
+    return subset(table(spark, d, "supplier"), "s_suppkey < 100").select(F.floor(k / 10).alias("r"), (k % 10).alias("c"), ((k * 7919) % 23 - 11).alias("v"))
 
 
 @query(f"""WITH {GRID}, p AS (SELECT a.r AS r1, b.r AS r2, c.c, sum(c.v) AS v FROM (SELECT DISTINCT r FROM g) a JOIN (SELECT DISTINCT r FROM g) b ON a.r <= b.r JOIN g c ON c.r BETWEEN a.r AND b.r GROUP BY ALL),
@@ -214,3 +214,6 @@ def longest_nondecreasing(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def least_after_swaps(spark: SparkSession, d: str) -> DataFrame:
     return op.fold(_lists(spark, d, 20), ["user_id"], ["i"], _fold("members", lambda v: op.least_after_swaps(v, 10)), "user_id long, members array<long>")
+
+
+whole("max_rectangle_sum", "grid_min_path")

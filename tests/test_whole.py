@@ -47,3 +47,103 @@ def test_graphs_of_all_lines(spark, tables):
     pairs = {(k % 5 % 200, s % 50 + 1000) for k, _, s in LINES}
     e = pairs | {(b, a) for a, b in pairs}
     assert run(spark, "second_degree_whole", d) == sorted({(a, y) for a, b in e for x, y in e if b == x and a != y and (a, y) not in e})
+
+
+def part(n):
+    return ("p_partkey long, p_name string, p_type string, p_size int", [(k, f"name{k}", "type", (k * 37) % 50 + 1) for k in range(n)])
+
+
+def test_trees_of_all_parts(spark, tables):
+    n = 300
+    d = tables(part=part(n))
+    val = {k: (k * 37) % 50 + 1 for k in range(1, n)}
+
+    def visit(kind, k=1):
+        if k >= n:
+            return []
+        left, right = visit(kind, 2 * k), visit(kind, 2 * k + 1)
+        return {"pre": [k, *left, *right], "in": [*left, k, *right], "post": [*left, *right, k]}[kind]
+
+    for kind in ("pre", "in", "post"):
+        assert run(spark, f"{kind}_order_whole", d) == sorted((k, i) for i, k in enumerate(visit(kind), 1))
+    above = {k: [k >> i for i in range(k.bit_length())] for k in val}
+    want = []
+    for x, y in itertools.combinations(sorted(val), 2):
+        lca = max(set(above[x]) & set(above[y]))
+        want.append((x, y, lca, x.bit_length() + y.bit_length() - 2 * lca.bit_length()))
+    assert run(spark, "lowest_common_ancestor_whole", d) == want
+    assert run(spark, "subtree_sums_whole", d) == [(k, sum(val[x] for x in val if k in above[x])) for k in val]
+    assert {r["id"] for r in plans.QUERIES["build_tree_whole"](spark, d).collect()} == set(val)
+
+
+def test_grids_of_all_rows(spark, tables):
+    n = 260
+    d = tables(part=part(n), supplier=("s_suppkey long", [(k,) for k in range(120)]))
+    cell = {divmod(k, 20): (int(((k * 37) % 50 + 1) % 3 > 0), k) for k in range(n)}
+    seen, isles, inside = set(), defaultdict(int), {k: v for v, k in cell.values()}
+    for at in cell:
+        if at in seen:
+            continue
+        isle, todo = set(), [at]
+        while todo:
+            r, c = x = todo.pop()
+            if x in isle or x not in cell or cell[x][0] != cell[at][0]:
+                continue
+            isle.add(x)
+            todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+        seen |= isle
+        isles[cell[at][0]] += 1
+        if not cell[at][0] and not any(r in (0, 12) or c in (0, 19) for r, c in isle):
+            inside |= {cell[x][1]: 1 for x in isle}
+    assert run(spark, "count_islands_whole", d) == sorted(isles.items())
+    assert run(spark, "surrounded_regions_whole", d) == sorted(inside.items())
+    g = [[(10 * r + c) * 7919 % 23 - 11 for c in range(10)] for r in range(12)]
+    best = max(sum(sum(row[c:e]) for row in g[r:s]) for r in range(12) for s in range(r + 1, 13) for c in range(10) for e in range(c + 1, 11))
+    assert run(spark, "max_rectangle_sum_whole", d) == [(max(best, 0),)]
+    least = {}
+    for r, c in itertools.product(range(12), range(10)):
+        least[r, c] = g[r][c] + min((least[x] for x in ((r - 1, c), (r, c - 1)) if x in least), default=0)
+    assert run(spark, "grid_min_path_whole", d) == [(least[11, 9],)]
+
+
+def test_rows_past_the_ids_of_the_sql(spark, tables):
+    lines = [(k, 1000 + k, k % 7, 1) for k in (1, 299, 300, 499, 500, 20000)]
+    orders = [(k,) for k in (1, 199, 200, 2226, 3111, 10000, 12345)]
+    p = part(400)
+    d = tables(
+        lineitem=("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int", lines),
+        orders=("o_orderkey long", orders),
+        part=p,
+        supplier=("s_suppkey long", [(k,) for k in range(90)]),
+        customer=("c_custkey long", [(1,), (199,), (200,), (4321,)]),
+    )
+    assert [r[0] for r in run(spark, "bit_arithmetic_whole", d)] == [x[0] for x in lines]
+    assert [(r["l_orderkey"], r["result"]) for r in plans.QUERIES["evaluate_whole"](spark, d).orderBy("l_orderkey").collect()] == [(o, q + s * n - o) for o, q, s, n in lines]
+    nexts = {k: next(x for x in itertools.count(k + 1) if str(x) == str(x)[::-1]) for (k,) in orders}
+    assert run(spark, "next_palindrome_whole", d) == sorted(nexts.items())
+    assert {r[0] for r in run(spark, "decode_ways_whole", d)} == {k for (k,) in orders}
+    assert [r[0] for r in run(spark, "interleaves_whole", d)] == list(range(400))
+    assert [r[0] for r in run(spark, "twenty_four", d)] == list(range(400))
+    text = {k: str(25525511100 + k * 37) for k in (1, 199, 200, 4321)}
+
+    def addresses(s, n):
+        if n == 0:
+            return [""] if not s else []
+        return [x for i in (1, 2, 3) if s[:i] and str(int(s[:i])) == s[:i] and int(s[:i]) < 256 for x in addresses(s[i:], n - 1)]
+
+    assert {r[0] for r in run(spark, "restore_ip_whole", d)} == {k for k, s in text.items() if addresses(s, 4)}
+    points = [(k % 10, k * 7 % 13) for k in range(90)]
+    most = 0
+    for i, (x, y) in enumerate(points):
+        lines_at = defaultdict(int)
+        for j, (a, b) in enumerate(points):
+            if i != j:
+                lines_at[None if a == x else (b - y) / (a - x)] += 1
+        most = max(most, *lines_at.values())
+    assert run(spark, "most_collinear_whole", d) == [(most + 1,)]
+    assert run(spark, "common_suffix_whole", d) == [(399 - 24,)]
+
+
+def test_flattened_lists_of_all_orders(spark, tables):
+    d = tables(orders=("o_orderkey long", [(1,), (200,), (900,)]), lineitem=("l_orderkey long, l_partkey long, l_linenumber int", [(1, 5, 1), (200, 6, 1), (900, 7, 1), (900, 8, 2)]))
+    assert run(spark, "flatten_levels_whole", d) == [(1, 5, 1), (200, 6, 1), (900, 7, 1), (900, 8, 2)]
