@@ -171,9 +171,9 @@ def twenty_four(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def grid_games(spark: SparkSession, d: str) -> DataFrame:
-    """Largest rectangle of ones and largest X of ones in 0/1 grids."""
+    """Largest rectangle of ones and largest X of ones in 0/1 grids seven wide, of all parts of a group; a last row is filled up with zeros."""
     g = table(spark, d, "part").groupBy((F.col("p_partkey") % 40).alias("g")).agg(F.expr("transform(array_sort(collect_list(struct(p_partkey, p_size))), x -> int(x.p_size % 3 > 0))").alias("v"))
-    one = lambda f: by_row(lambda v: f([list(map(int, v[i : i + 7])) for i in range(0, 49, 7)]), "int")
+    one = lambda f: by_row(lambda v: f([[*map(int, v[i : i + 7]), *[0] * (i + 7 - len(v))] for i in range(0, len(v), 7)]), "int")
     return g.select("g", one(puzzles.ones_rectangle)("v").alias("rectangle"), one(puzzles.ones_cross)("v").alias("cross"))
 
 

@@ -178,7 +178,7 @@ def queue_reconstruction(spark: SparkSession, d: str) -> DataFrame:
 
 def _lists(spark: SparkSession, d: str, n: int = 60) -> DataFrame:
     w = op.ordered(["user_id"], ORDER)
-    return cents(spark, d).withColumn("i", F.row_number().over(w)).where(F.col("i") <= n)
+    return subset(cents(spark, d).withColumn("i", F.row_number().over(w)), f"i <= {n}")
 
 
 def _fold(kind: str, f):
@@ -213,7 +213,7 @@ def longest_nondecreasing(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def least_after_swaps(spark: SparkSession, d: str) -> DataFrame:
-    return op.fold(_lists(spark, d, 20), ["user_id"], ["i"], _fold("members", lambda v: op.least_after_swaps(v, 10)), "user_id long, members array<long>")
+    return op.fold(_lists(spark, d, 10**9), ["user_id"], ["i"], _fold("members", lambda v: op.least_after_swaps(v, 10)), "user_id long, members array<long>")
 
 
-whole("max_rectangle_sum", "grid_min_path")
+whole("max_rectangle_sum", "grid_min_path", "histogram_rectangle", "container_water")

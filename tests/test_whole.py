@@ -147,3 +147,32 @@ def test_rows_past_the_ids_of_the_sql(spark, tables):
 def test_flattened_lists_of_all_orders(spark, tables):
     d = tables(orders=("o_orderkey long", [(1,), (200,), (900,)]), lineitem=("l_orderkey long, l_partkey long, l_linenumber int", [(1, 5, 1), (200, 6, 1), (900, 7, 1), (900, 8, 2)]))
     assert run(spark, "flatten_levels_whole", d) == [(1, 5, 1), (200, 6, 1), (900, 7, 1), (900, 8, 2)]
+
+
+def test_whole_lists(spark, tables):
+    import datetime
+
+    vals = {1: [(k * 37) % 90 + 1 for k in range(150)], 2: [5.0] * 100, 3: [3, 1, 2]}
+    start = datetime.datetime(2024, 1, 1)
+    events = [(u, 1000 * u + i, start + datetime.timedelta(minutes=i), float(v)) for u, vs in vals.items() for i, v in enumerate(vs)]
+    d = tables(events=("user_id long, event_id long, ts timestamp_ntz, value double", events))
+    cents = {u: [round(v * 100) for v in vs] for u, vs in vals.items()}
+    areas = {u: max(min(v[a:b]) * (b - a) for a in range(len(v)) for b in range(a + 1, len(v) + 1)) for u, v in cents.items()}
+    assert run(spark, "histogram_rectangle_whole", d) == sorted(areas.items())
+    water = {u: max((b - a) * min(v[a], v[b]) for a, b in itertools.combinations(range(len(v)), 2)) for u, v in cents.items()}
+    assert run(spark, "container_water_whole", d) == sorted(water.items())
+    swapped = {r["user_id"]: r["members"] for r in plans.QUERIES["least_after_swaps"](spark, d).collect()}
+    assert {u: sorted(m) for u, m in swapped.items()} == {u: sorted(v) for u, v in cents.items()}
+
+
+def test_whole_grids(spark, tables):
+    n = 40 * 73
+    d = tables(part=("p_partkey long, p_name string, p_size int", [(k, "x", 3 if k // 40 < 50 else 1) for k in range(n)]))
+    # zeros in the first 50 places, then 23 ones: 6 in row 7, rows 8 and 9 whole, 3 in row 10
+    assert run(spark, "grid_games", d) == [(g, max(2 * 7, 3 * 6), 2) for g in range(40)]
+
+
+def test_a_word_past_the_sixth_name(spark, tmp_path):
+    names = ["aaaa"] * 6 + ["ring"]
+    spark.createDataFrame([(50 * i, x) for i, x in enumerate(names)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    assert run(spark, "word_in_grid", str(tmp_path)) == [(0, True)]
