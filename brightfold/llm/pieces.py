@@ -2,8 +2,9 @@
 
 A text becomes "▁" + text with every space as "▁"; its segmentation is the path of pieces with the largest sum of the
 file's scores, ties to the path whose last piece (then the one before, and so on) starts earliest. A character that no
-piece holds costs the least score less 10 and is written as its bytes' pieces. No piece holds "▁" past its start (runs of
-spaces apart, whose score never wins), so every "▁" is a cut that all paths go through.
+piece holds costs the least score less 10 and is written as its bytes' pieces. No piece but runs of
+"▁" holds one past its start, so every "▁" after another character is a cut that all paths go through; a run of "▁" is
+segmented with the word after it.
 
 encode(): words are segmented once and kept; a giant text is cut into chunks anywhere, each gives the max-plus matrix of
 best scores from each overhang of a piece at its start to each at its end, matrices are combined in order into the scores
@@ -19,6 +20,7 @@ results; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +34,7 @@ from .common import pick, stage
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 LITERAL = "\ud800"  # stands for a "▁" of the text itself, which no text of Spark's can hold
 NONE = float("-inf")
+UNIT, CUT = re.compile(f"{SPACE}+[^{SPACE}]*"), re.compile(f"[^{SPACE}](?={SPACE})")
 
 
 class Lattice:
@@ -43,7 +46,7 @@ class Lattice:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         plain = [i for i in range(len(self.pieces)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.unknown = min(sp.get_score(i) for i in plain) - UNKNOWN_PENALTY
-        self.ids = {self.pieces[i]: i for i in plain if SPACE not in self.pieces[i][1:]}
+        self.ids = {self.pieces[i]: i for i in plain if SPACE not in self.pieces[i][1:] or not self.pieces[i].strip(SPACE)}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.root: dict = {}
@@ -128,12 +131,12 @@ class Lattice:
         """Best scores from a piece's start at place i of a chunk of n characters to the next chunk's place j. text: the chunk and
         what a piece that starts in it may reach."""
         wide = self.longest
-        cut = text.find(SPACE)
-        cut = cut if 0 <= cut < n else n
+        cuts = [m.end() for m in CUT.finditer(text, 0, n)]
+        cut = cuts[0] if cuts else n
         best = np.full((len(text) + wide + 1, wide), NONE)
         for i in range(min(wide, cut + 1)):
             best[i, i] = 0.0  # no piece reaches past a cut
-        last = text.rfind(SPACE, 0, n)
+        last = cuts[-1] if cuts else -1
         if last > cut:  # whole words between the first and the last cut: one number
             self.forward(text, 0, cut, best)
             middle = sum(score[len(w)] for w, _, _, score in self.scored(text[cut:last]))
@@ -145,8 +148,8 @@ class Lattice:
         return best[n : n + wide].T.copy()
 
     def scored(self, text: str) -> Iterator:
-        for word in text[1:].split(SPACE):
-            yield from self.walk([SPACE + word])
+        for unit in UNIT.findall(text):
+            yield from self.walk([unit])
 
     def forward(self, text: str, start: int, stop: int, best: np.ndarray) -> None:
         """Carry the rows of best on from the places start to stop - 1."""
@@ -183,8 +186,12 @@ class Lattice:
 
 
 def split(text: str | None) -> list[str]:
-    """A text's words: what stands between single spaces."""
-    return text.replace(SPACE, LITERAL).split(" ") if text else []
+    """A text's words, what stands between spaces; of a run of spaces, all but the first are marks before the next word."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " ":
+        return [unit[1:] for unit in UNIT.findall(SPACE + marked(text))]
+    return text.replace(SPACE, LITERAL).split(" ")
 
 
 def encode(docs: DataFrame, path: str, giant: int = 65_536, chunk: int = 16_384) -> DataFrame:
@@ -308,7 +315,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                 texts = [split(t) for t in part["text"]]
                 lattice.count(texts)
                 get = lattice.counts.__getitem__
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_words": [len(ws) for ws in texts], "n_tokens": [sum(map(get, ws)) for ws in texts]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_words": [t.count(" ") + 1 if t else 0 for t in part["text"]], "n_tokens": [sum(map(get, ws)) for ws in texts]})
 
     return pick(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, n_words long, n_tokens long")
 
