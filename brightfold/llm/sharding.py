@@ -7,7 +7,7 @@ one entry a cell, is what rows are joined with: no row is sent by its bucket, so
 
 Rows of one id share all bits, so no split parts them: such a bucket, if over the limit, gets overflow pages filled in
 order, each within the limit; a single row over the limit has a page of its own. Null ids are a key like any other, null
-texts weigh nothing, an empty table gives no shards, columns other than the id and the text are carried through by write().
+texts weigh nothing, an empty table gives no shards, all rows and columns are carried through by write().
 """
 
 from __future__ import annotations
@@ -55,9 +55,18 @@ def directory(rows: DataFrame, limit: int, step: int = 8, most: int = 20) -> lis
 
 def assign(docs: DataFrame, limit: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, shard (its prefix bits), depth and page of every row."""
-    rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.coalesce(F.octet_length(F.col(f"`{text_column}`").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), _size(text_column).alias("n_bytes"))
     rows = rows.withColumn("key", key("doc_id")).withColumn("uid", F.monotonically_increasing_id())
     rows, _ = stage(rows, "shard-rows")
+    return _place(rows, limit).drop("uid")
+
+
+def _size(text_column: str) -> Column:
+    return F.coalesce(F.octet_length(F.col(f"`{text_column}`").cast("string")), F.lit(0)).cast("long")
+
+
+def _place(rows: DataFrame, limit: int) -> DataFrame:
+    """uid, doc_id, n_bytes, shard, depth and page of staged rows(doc_id, n_bytes, key, uid)."""
     placed, depth = rows, []
     for i, (bits, cells) in enumerate(directory(rows.select("key", "n_bytes"), limit)):
         placed = placed.withColumn(f"c{i}", _prefix(bits)).join(cells.select(F.col("cell").alias(f"c{i}"), F.col("depth").alias(f"d{i}")).hint("merge"), f"c{i}", "left")
@@ -75,7 +84,7 @@ def assign(docs: DataFrame, limit: int, id_column: str = "doc_id", text_column:
     begun = runs.withColumn("begin", F.coalesce(inside, F.lit(0))).join(before, ["key", "run"])
     page = F.when(F.col("n_bytes") <= half, 2 * F.floor((F.col("begin") + F.col("before")) / half)).otherwise(2 * F.col("uid") + 1)
     paged = begun.select("uid", page.cast("long").alias("page"))
-    return placed.join(paged, "uid", "left").select("doc_id", "n_bytes", "shard", "depth", F.coalesce("page", F.lit(0)).alias("page"))
+    return placed.join(paged, "uid", "left").select("uid", "doc_id", "n_bytes", "shard", "depth", F.coalesce("page", F.lit(0)).alias("page"))
 
 
 def with_sizes(placed: DataFrame) -> DataFrame:
@@ -85,6 +94,8 @@ def with_sizes(placed: DataFrame) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, limit: int) -> None:
-    """Write docs as one folder a shard."""
-    shards = assign(docs.select("doc_id", "text"), limit).select("doc_id", "shard").distinct()
-    docs.join(shards, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write docs as one folder a shard and page. Rows are joined with their places by number: ids may be null or repeated."""
+    held, _ = stage(docs.withColumn("_uid", F.monotonically_increasing_id()), "shard-docs")
+    places = _place(held.select("doc_id", _size("text").alias("n_bytes"), key("doc_id").alias("key"), F.col("_uid").alias("uid")), limit)
+    placed = held.join(places.select(F.col("uid").alias("_uid"), "shard", "page").hint("merge"), "_uid").drop("_uid")
+    placed.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)

@@ -1,9 +1,12 @@
 """What the pipeline operators must not leave out, against the libraries and by reading back what is written."""
 
+import collections
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from brightfold.llm import pieces
+from brightfold.llm import pieces, sharding
 
 from .test_llm import MODEL, docs, unigram
 
@@ -41,3 +44,16 @@ def test_runs_of_spaces_in_giants(spark, chunk):
     for i, t in enumerate(texts):
         assert cut[i].ids == whole[i] and cut[i].decoded == t
         assert counts[i].n_tokens == len(whole[i]) and counts[i].n_words == t.count(" ") + 1
+
+
+def test_written_shards_hold_every_row(spark, tmp_path):
+    texts = ["x" * n for n in (1, 50, 400, 90)] + ["y" * 60] * 40 + [None, ""] + ["z" * 70] * 9
+    ids = [*range(4), *[77] * 30, *range(100, 110), 5, 200, *[None] * 9]
+    d = docs(spark, texts, ids)
+    sharding.write(d, str(tmp_path / "out"), 300)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    whole = lambda df: collections.Counter(tuple(r) for r in df.select(*d.columns).collect())
+    assert whole(back) == whole(d)
+    sizes = back.groupBy(F.regexp_extract(F.input_file_name(), "(shard=.*)/", 1)).agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
+    assert all((x.b or 0) <= 300 or x.n == 1 for x in sizes)
+    assert all(len(list(f.glob("*.parquet"))) == 1 for f in (tmp_path / "out").glob("shard=*/page=*"))
