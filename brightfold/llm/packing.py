@@ -29,12 +29,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def tokenised_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, added: bool = False) -> DataFrame:
     """A row for each piece of at most `capacity` ids, with the task that made it and its rank there among equal lengths."""
     end = np.uint32(end_id)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, part, seen = WordBpe(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        bpe, part, seen = WordBpe(path, added=added), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
             for doc_id, data in zip(batch["doc_id"], bpe.texts(batch["text"].tolist())):
@@ -108,10 +108,10 @@ def slots(patterns: list[tuple[list[int], int]], capacity: int) -> tuple[np.ndar
     return tuple(table[np.lexsort((table[:, 1], table[:, 0]))].T)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, added: bool = False) -> DataFrame:
     """Pack every document's ids (tokenizer file at `path`, then `end_id`) into sequences of at most `capacity` ids."""
     spark = docs.sparkSession
-    pieces, _ = stage(tokenised_pieces(docs, path, capacity, end_id), "pieces")
+    pieces, _ = stage(tokenised_pieces(docs, path, capacity, end_id, added), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     by_part, at = stage(by_part, "piece-counts")
     counts = np.zeros(capacity + 1, np.int64)

@@ -76,7 +76,7 @@ SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), added=True)
 
 
 def op7_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

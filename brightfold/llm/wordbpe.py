@@ -2,7 +2,8 @@
 
 Pre-tokens are cut by character class over a block of texts at once, known by a 64-bit hash of their bytes, and new ones
 are merged together as a matrix, one merge a pre-token and step. Their ids are kept in one pool. Texts that are not in
-normal form or hold code points that Unicode tables disagree on, and very long pre-tokens, go through the tokenizers library.
+normal form or hold code points that Unicode tables disagree on, and very long pre-tokens, go through the tokenizers library, and
+so do, if the file's added tokens count, texts that hold the string of one.
 """
 
 from __future__ import annotations
@@ -39,12 +40,13 @@ def classes() -> np.ndarray:
 
 
 class WordBpe:
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 400_000, added: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added  # if not, their strings in a text are ordinary text
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, letters = model["vocab"], byte_letters()
@@ -181,9 +183,12 @@ class WordBpe:
         for i, text in enumerate(texts):
             if text and text.isascii() or text and unicodedata.is_normalized("NFC", text) and self.simple(text):
                 low = text.lower()
-                places.append(i)
-                held.append(low)
-                size += len(low)
+                if any(a in low for a in self.added):
+                    out[i] = self.library(text)
+                else:
+                    places.append(i)
+                    held.append(low)
+                    size += len(low)
             elif text:
                 out[i] = self.library(text)
             if held and (size >= together or i + 1 == len(texts)):

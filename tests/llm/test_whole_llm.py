@@ -1,14 +1,16 @@
 """What the pipeline operators must not leave out, against the libraries and by reading back what is written."""
 
 import collections
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brightfold.llm import pieces, sharding
+from brightfold.llm import pieces, queries, sharding
+from brightfold.llm.wordbpe import WordBpe
 
-from .test_llm import MODEL, docs, unigram
+from .test_llm import BPE, MODEL, ODD, docs, unigram
 
 RUNS = ["a  b", "a   b", "        x = 1", "a    b", " a", "  ", "a  ", "x   \n    y", "a     Zq", "|  a |   b   |"]
 
@@ -57,3 +59,16 @@ def test_written_shards_hold_every_row(spark, tmp_path):
     sizes = back.groupBy(F.regexp_extract(F.input_file_name(), "(shard=.*)/", 1)).agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
     assert all((x.b or 0) <= 300 or x.n == 1 for x in sizes)
     assert all(len(list(f.glob("*.parquet"))) == 1 for f in (tmp_path / "out").glob("shard=*/page=*"))
+
+
+def test_added_tokens_are_the_library_s(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    texts = [*ODD, "a <|endoftext|> b", "<|STARTOFTEXT|>x<|endoftext|>", "a<|endoftext|>" + "y" * 200, "é <|endoftext|>", "a <|endoftext b"]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert want[len(ODD)] == [320, 49407, 321]
+    assert [x.tolist() for x in WordBpe(BPE, added=True).texts(texts)] == want
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x.ids_crc32 for x in queries.op6_best_fit_packing(spark, str(tmp_path)).collect() if x.piece == 0}
+    assert got == {i: zlib.crc32(np.array([*x, 1], "<u4").tobytes()) for i, x in enumerate(want)}
