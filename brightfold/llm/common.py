@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests on one machine.
+#: Used only where a session on one machine names no spark.checkpoint.dir, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the session has it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = LOCAL_SHARED
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/brightfold"
@@ -33,6 +37,20 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def stage_by(df: DataFrame, column: str, label: str) -> tuple[DataFrame, str]:
+    """stage() as a table in buckets by column, which joins on it read where they are. Returns the table and its name."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, column).format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name), name
+
+
+def unstage_by(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    unstage(spark, f"{shared_dir(spark)}/{name}")
+
+
 def unstage(spark: SparkSession, *paths: str) -> None:
     """Delete staged tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -46,6 +64,36 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id, as text, and text: numbers beside a null would reach Python as floats, which lose digits from 2^53 on."""
+    return pick(docs, doc_id="long", text="string").withColumn("doc_id", F.col("doc_id").cast("string"))
+
+
+def with_ids(rows: DataFrame) -> DataFrame:
+    """rows with doc_id as the number again that texts() made a text."""
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def among(rows: DataFrame, column: str, used: DataFrame, but: bool = False, bits: int = 26) -> DataFrame:
+    """The rows whose column is in used (one column of numbers) and a few others; but: all the rest, of which none is in used. A filter of
+    2^bits places, one hash a number: it is broadcast as at most 2^(bits - 6) rows of 64 places each, whatever `used` holds, and
+    tells less apart the more there is."""
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+    bit = "shiftleft(1L, cast(_place & 63 AS int))"
+    places = used.select(place(F.col(used.columns[0])).alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.bit_or(F.expr(bit)).alias("_bits"))
+    held = rows.withColumn("_place", place(F.col(column))).withColumn("_word", F.shiftright("_place", 6))
+    held = held.join(F.broadcast(places), "_word", "left" if but else "inner")
+    return held.where(f"coalesce(_bits & {bit}, 0L) {'=' if but else '!='} 0L").select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can: a worker process outlives its tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) words: runs of anything but space and the five ASCII controls 9 to 13."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -64,7 +112,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, kept for the words seen so far; forgotten when it grows past `most`."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         import xxhash
 
         super().__init__()
