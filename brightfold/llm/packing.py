@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stage
+from .common import stage, texts, trim, unstage, with_ids
 from .wordbpe import WordBpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
@@ -44,10 +44,11 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, add
                     n = len(block)
                     rows.append((doc_id, piece, at, n, zlib.crc32(block.tobytes()), part, seen[n]))
                     seen[n] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"])
+        del bpe
+        trim()
 
-    return pick(docs, doc_id="long", text="string").mapInPandas(run, PIECES)
+    return with_ids(texts(docs).mapInPandas(run, PIECES.replace("doc_id long", "doc_id string")))
 
 
 def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -111,7 +112,7 @@ def slots(patterns: list[tuple[list[int], int]], capacity: int) -> tuple[np.ndar
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, added: bool = False) -> DataFrame:
     """Pack every document's ids (tokenizer file at `path`, then `end_id`) into sequences of at most `capacity` ids."""
     spark = docs.sparkSession
-    pieces, _ = stage(tokenised_pieces(docs, path, capacity, end_id, added), "pieces")
+    pieces, pieces_at = stage(tokenised_pieces(docs, path, capacity, end_id, added), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     by_part, at = stage(by_part, "piece-counts")
     counts = np.zeros(capacity + 1, np.int64)
@@ -133,4 +134,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, adde
             i = np.searchsorted(keys, length * stride + np.minimum(rank, stride - 1), "right") - 1
             yield b.drop(columns="rank").assign(sequence_id=sequences[i] + rank - ranks[i], offset=offsets[i])
 
-    return ranked.mapInPandas(place, PACKED)
+    result, _ = stage(with_ids(ranked.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(place, PACKED.replace("doc_id long", "doc_id string"))), "packed")
+    unstage(spark, pieces_at, at)
+    plan.unpersist()
+    return result

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stage
+from .common import stage, texts, trim, with_ids
 
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 LITERAL = "\ud800"  # stands for a "▁" of the text itself, which no text of Spark's can hold
@@ -196,7 +196,7 @@ def split(text: str | None) -> list[str]:
 
 def encode(docs: DataFrame, path: str, giant: int = 65_536, chunk: int = 16_384) -> DataFrame:
     """doc_id, text and ids (array of int) of every row."""
-    rows = pick(docs, doc_id="long", text="string")
+    rows = texts(docs)
     small = rows.where(F.col("text").isNull() | (F.length("text") <= giant))
     large = rows.where(F.length("text") > giant)
 
@@ -210,8 +210,10 @@ def encode(docs: DataFrame, path: str, giant: int = 65_536, chunk: int = 16_384)
                 get = lattice.words.__getitem__
                 yield part.assign(ids=[np.frombuffer(b"".join(map(get, ws)), "<u4").astype(np.int32) for ws in texts])
 
-    done = small.mapInPandas(run, "doc_id long, text string, ids array<int>")
-    return done.unionByName(encode_giants(large, path, chunk))
+        trim()
+
+    done = small.mapInPandas(run, "doc_id string, text string, ids array<int>")
+    return with_ids(done.unionByName(encode_giants(large, path, chunk)))
 
 
 def encode_giants(docs: DataFrame, path: str, chunk: int = 16_384) -> DataFrame:
@@ -301,7 +303,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 part = b.iloc[a : a + 500]
                 yield part.assign(decoded=[lattice.decode(ids) for ids in part["ids"]])
 
-    return encoded.mapInPandas(run, "doc_id long, text string, ids array<int>, decoded string")
+        trim()
+
+    return with_ids(encoded.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, text string, ids array<int>, decoded string"))
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -315,9 +319,11 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                 texts = [split(t) for t in part["text"]]
                 lattice.count(texts)
                 get = lattice.counts.__getitem__
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_words": [t.count(" ") + 1 if t else 0 for t in part["text"]], "n_tokens": [sum(map(get, ws)) for ws in texts]})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_words": [t.count(" ") + 1 if t else 0 for t in part["text"]], "n_tokens": [sum(map(get, ws)) for ws in texts]})
 
-    return pick(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+        trim()
+
+    return with_ids(texts(docs).mapInPandas(run, "doc_id string, n_words long, n_tokens long"))
 
 
 def digest(encoded: DataFrame, path: str) -> DataFrame:
@@ -328,6 +334,8 @@ def digest(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             ids = [np.asarray(x, "<u4") for x in b["ids"]]
             same = [(t or "") == lattice.decode(x.tolist()) for t, x in zip(b["text"], ids)]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_ids": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids], "round_trip": same})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_ids": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids], "round_trip": same})
+
+        trim()
 
-    return encoded.mapInPandas(run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    return with_ids(encoded.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, n_ids long, ids_crc32 long, round_trip boolean"))
