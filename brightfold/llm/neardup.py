@@ -6,12 +6,12 @@ bins + j puts every shingle into place j, so all fill. Long sets need one round,
 about the sets' similarity. Bands of `rows` places are the candidate keys.
 
 1. Rows with equal sets become one node (the least row of the set), by hash of the set.
-2. Every node is compared with the first and the last leader (least node by hash) of its buckets, exactly, on full sets; found links are
+2. Every node is compared with the first and the last node (by hash) of all its buckets, exactly, on full sets; found links are
    merged. This is only to keep the next step small.
 3. In buckets that hold several components, sketches (a byte a place) are compared across components, in blocks; components with a
-   pair whose estimate is not 0.12 under the threshold (five standard errors) are one family, of which a bucket gives a spanning forest.
-4. Within a family of several components all members of different components are compared exactly, on full sets, in cells of two blocks
-   of members; blocks of one large component are not compared with each other. Only links that join components are returned.
+   pair whose estimate is not 0.12 under the threshold (five standard errors) are one family, of which a cell gives a spanning forest.
+4. Within a family of several components all members of different components are compared exactly, on full sets. Only links that join
+   components are returned. In 3 and 4, large groups are cells of two blocks of members, never two blocks of one component.
    Pairs are never rows, so a group of copies costs as many rows as it has members, times the blocks it must be compared with.
 
 A pair at the threshold shares no band with probability (1 - s^rows)^bands: 5e-7 at 0.8 with 48 bands of 6.
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, pick, shingles, stage, unstage, words
+from .common import WordHashes, among, mix, pick, shingles, stage, trim, unstage, with_ids, words
 
 BANDS, ROWS, SLACK, BLOCK, CELL = 48, 6, 0.12, 1024, 512
 _GOLD = 0x9E3779B97F4A7C15
@@ -71,7 +71,7 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, row (its place), n_shingles, two hashes of the set, band keys and the sketch's low bytes."""
-    schema = "doc_id long, row long, n long, h1 long, h2 long, bands array<long>, low binary"
+    schema = "doc_id string, row long, n long, h1 long, h2 long, bands array<long>, low binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -84,9 +84,11 @@ def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 keys, low = [None] * len(sets), [b""] * len(sets)
                 for i, key, x in zip(full, band_keys(s, bands, rows), mix(s).astype(np.uint8)):
                     keys[i], low[i] = key, x.tobytes()
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "row": part["row"], "n": [len(x) for x in sets], "h1": [np.int64(xxhash.xxh64_intdigest(x.tobytes()) - 2**63) for x in sets], "h2": [np.int64(xxhash.xxh64_intdigest(x.tobytes(), 1) - 2**63) for x in sets], "bands": keys, "low": low})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "n": [len(x) for x in sets], "h1": [np.int64(xxhash.xxh64_intdigest(x.tobytes()) - 2**63) for x in sets], "h2": [np.int64(xxhash.xxh64_intdigest(x.tobytes(), 1) - 2**63) for x in sets], "bands": keys, "low": low})
 
-    return docs.mapInPandas(run, schema)
+        trim()
+
+    return with_ids(docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, schema))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -110,6 +112,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                     last, kept = b, shingles(hashes.array(words(tb)), k)
                 good[i] = similar(shingles(hashes.array(words(ta)), k), kept, percent)
             yield x.loc[good, ["a", "b"]]
+        trim()
 
     return rows.mapInPandas(run, "a long, b long")
 
@@ -170,27 +173,47 @@ class Forest:
         return a != b
 
 
-def near_components(members: DataFrame, percent: int, bins: int) -> DataFrame:
-    """Pairs of components, of every bucket a spanning forest of those with members whose sizes and sketches allow a link.
-    members: bucket, size, node, component, n, low. Buckets over BLOCK members are compared block by block."""
-    parts = F.expr(f"greatest(1, (size + {BLOCK} - 1) div {BLOCK})")
-    cells = F.expr("if(parts = 1, array(named_struct('i', 0L, 'j', 0L)), transform(sequence(0L, parts - 1), j -> named_struct('i', least(j, own), 'j', greatest(j, own))))")
-    rows = members.withColumn("parts", parts.cast("long")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("long")).withColumn("cell", F.explode(cells))
-    rows = rows.select("bucket", "cell.i", "cell.j", "own", "component", "n", "low")
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+def in_cells(members: DataFrame, most: int) -> DataFrame:
+    """members (group, component, node, ...) with `cell` and `block`, as often as needed for every two members of a group that are of
+    different components to meet in a cell. A group of up to `most` members is one cell. In a larger one, a component of `most` or more
+    has blocks of its own, others share blocks; two blocks are a cell, but not two of one component."""
+    per = members.groupBy("group", "component").agg(F.count("*").alias("n_own"))
+    sizes = per.groupBy("group").agg(F.sum("n_own").alias("size"), F.sum(F.when(F.col("n_own") < most, F.col("n_own"))).alias("rest"))
+    large = sizes.where(F.col("size") > most)
+    one = members.join(large.select("group").hint("merge"), "group", "left_anti").withColumn("cell", F.xxhash64("group")).withColumn("block", F.lit(0).cast("long"))
+    per = per.join(large, "group")
+    placed = members.join(per.hint("merge"), ["group", "component"])
+    own = F.col("n_own") >= most
+    count = F.when(own, F.ceil(F.col("n_own") / most)).otherwise(F.ceil(F.col("rest") / most))
+    spread = F.when(own, F.xxhash64("node")).otherwise(F.xxhash64("component"))
+    placed = placed.withColumn("whose", F.when(own, F.col("component").cast("string")).otherwise("*")).withColumn("part", F.pmod(spread, count)).drop("n_own", "size", "rest")
+    blocks = per.select("group", F.when(own, F.col("component").cast("string")).otherwise("*").alias("whose"), count.alias("count")).distinct()
+    blocks = blocks.select("group", "whose", F.explode(F.expr("sequence(0L, count - 1)")).alias("part"))
+    left, right = blocks.select("group", F.struct("whose", "part").alias("x")), blocks.select("group", F.struct("whose", "part").alias("y"))
+    cells = left.join(right, "group").where("x <= y AND (x.whose <> y.whose OR x.whose = '*')")
+    sides = cells.select("group", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).select("group", F.xxhash64("group", "x", "y").alias("cell"), F.col("b.whose").alias("whose"), F.col("b.part").alias("part"))
+    both = placed.join(sides, ["group", "whose", "part"]).withColumn("block", F.xxhash64("whose", "part"))
+    return one.select(*members.columns, "cell", "block").union(both.select(*members.columns, "cell", "block"))
+
+
+def near_components(members: DataFrame, sketches: DataFrame, percent: int, bins: int) -> DataFrame:
+    """Pairs of components, of every cell a spanning forest of those with members whose sizes and sketches allow a link.
+    members: group (a bucket), node, component, n; sketches: node, low."""
+    rows = in_cells(members, BLOCK).join(sketches.hint("merge"), "node")
+    rows = rows.select("cell", "block", "component", "n", "low").repartition("cell").sortWithinPartitions("cell")
     least = percent / 100 - SLACK
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int]] = []
-        for x in by_group(batches, ["bucket", "i", "j"]):
-            comp, n, own = (x[c].to_numpy() for c in ("component", "n", "own"))
+        for x in by_group(batches, ["cell"]):
+            comp, n, block = (x[c].to_numpy() for c in ("component", "n", "block"))
             low = np.frombuffer(b"".join(x["low"]), np.uint8).reshape(len(x), bins)
-            across, forest = x["i"].iloc[0] != x["j"].iloc[0], Forest()
+            across, forest = block.min() != block.max(), Forest()
             for s in range(0, len(x), 128):
                 i, j = np.meshgrid(np.arange(s, min(s + 128, len(x))), np.arange(s, len(x)), indexing="ij")
                 ok = (j > i) & (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
                 if across:  # pairs within a block are those of another cell
-                    ok &= own[i] != own[j]
+                    ok &= block[i] != block[j]
                 i, j = i[ok], j[ok]
                 for c in range(0, len(i), 20_000):
                     p, q = i[c : c + 20_000], j[c : c + 20_000]
@@ -201,6 +224,7 @@ def near_components(members: DataFrame, percent: int, bins: int) -> DataFrame:
                 yield pd.DataFrame(out, columns=["a", "b"])
                 out = []
         yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        trim()
 
     return rows.mapInPandas(run, "a long, b long").distinct()
 
@@ -225,21 +249,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def links_within(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between the components of each family that join them, from all pairs of members of different components.
-    members: family, component, node; texts: node, text."""
-    per = members.groupBy("family", "component").agg(F.count("*").alias("n"))
-    small = per.where(f"n < {CELL}").groupBy("family").agg(F.sum("n").alias("rest"))
-    # a large component has blocks of its own, small ones share blocks; a block's name starts with its component, or a mark for shared ones
-    placed = members.join(per, ["family", "component"]).join(small, "family", "left")
-    own = F.col("n") >= CELL
-    count = F.when(own, F.ceil(F.col("n") / CELL)).otherwise(F.ceil(F.col("rest") / CELL))
-    spread = F.when(own, F.xxhash64("node")).otherwise(F.xxhash64("component"))
-    placed = placed.select("family", "component", "node", F.when(own, F.col("component").cast("string")).otherwise("*").alias("whose"), F.pmod(spread, count).alias("part"))
-    blocks = placed.select("family", "whose", "part").distinct()
-    left, right = blocks.select("family", F.struct("whose", "part").alias("x")), blocks.select("family", F.struct("whose", "part").alias("y"))
-    cells = left.join(right, "family").where("x <= y AND (x.whose <> y.whose OR x.whose = '*')")
-    sides = cells.select("family", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).select("family", "x", "y", F.col("b.whose").alias("whose"), F.col("b.part").alias("part"))
-    rows = placed.join(sides, ["family", "whose", "part"]).join(texts.hint("merge"), "node")
-    rows = rows.select(F.xxhash64("family", "x", "y").alias("cell"), "component", "node", "text").repartition("cell").sortWithinPartitions("cell", "node")
+    members: group (a family), component, node; texts: node, text."""
+    rows = in_cells(members, CELL).join(texts.hint("merge"), "node")
+    rows = rows.select("cell", "component", "node", "text").repartition("cell").sortWithinPartitions("cell", "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -250,10 +262,25 @@ def links_within(members: DataFrame, texts: DataFrame, k: int, percent: int) ->
             i, j = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes - both), 1) & (comp[:, None] != comp))
             got = [(a, b) for a, b, c, d in zip(node[i].tolist(), node[j].tolist(), comp[i].tolist(), comp[j].tolist()) if forest.add(c, d)]
             yield pd.DataFrame(got, columns=["a", "b"]).astype("int64")
+        trim()
 
     return rows.mapInPandas(run, "a long, b long")
 
 
+def leaders(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """buckets (bucket, node, n) that hold several nodes; pairs (a, b) of each node with the first and the last node of all its buckets,
+    where their sizes allow a link; and the staged tables' paths. nodes: node, n, bands."""
+    keys = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    shared, shared_at = stage(keys.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y"), "shared")
+    # most buckets hold one node: their keys are not sent again
+    buckets, buckets_at = stage(among(keys, "bucket", shared.select("bucket")).join(shared.hint("merge"), "bucket"), "buckets")
+    lead, lead_at = stage(buckets.groupBy("node", "n").agg(F.min("x").alias("x"), F.max("y").alias("y")), "leaders")
+    stars = lead.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode(F.array("x", "y")).alias("b")).where("a != b")
+    stars = stars.join(lead.select(F.col("node").alias("b"), F.col("n").alias("nb")).hint("merge"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    stars, stars_at = stage(stars.select("a", "b"), "stars")
+    return buckets.select("bucket", "node", "n"), stars, [shared_at, buckets_at, lead_at, stars_at]
+
+
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, row, n_shingles, component_id (the least doc_id reachable), and first (the row that stands for its component) of every row of docs, which has
     the columns doc_id, text and row (a number of its own for every row, the same whenever it is read)."""
@@ -262,48 +289,54 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
     base, base_at = stage(sketched(docs, k, bands, rows), "sketches")
     same = base.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("node"))
     members, members_at = stage(base.select("doc_id", "row", "n", "h1", "h2").join(same, ["h1", "h2", "n"], "left").select("doc_id", "row", "n", F.coalesce("node", "row").alias("node")), "members")
-    nodes = base.select("row", "n", "bands").join(members.where("node = row AND n > 0").select("row"), "row", "left_semi").dropDuplicates(["row"])
-
-    keys = nodes.select(F.col("row").alias("node"), "n", F.explode("bands").alias("bucket"))
-    leader = F.struct(F.xxhash64("node").alias("o"), "node", "n")
-    shared = keys.groupBy("bucket").agg(F.min(leader).alias("x"), F.max(leader).alias("y"), F.count("*").alias("size")).where("size > 1")
-    buckets, buckets_at = stage(keys.join(shared, "bucket"), "buckets")
-
-    def fitting(a: str, b: str) -> str:
-        return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-
-    # a node's first and last leader of all its buckets: at most two pairs a node
-    lead = buckets.groupBy("node", "n").agg(F.min("x").alias("x"), F.max("y").alias("y"))
-    stars = lead.where(f"node != x.node AND {fitting('n', 'x.n')}").select(F.col("node").alias("a"), F.col("x.node").alias("b"))
-    stars = stars.union(lead.where(f"node != y.node AND {fitting('n', 'y.n')}").select(F.col("node").alias("a"), F.col("y.node").alias("b")))
-    stars, stars_at = stage(stars, "stars")
-
-    def texts(used: DataFrame) -> DataFrame:
-        return docs.select("row", "text").join(used, "row", "left_semi").dropDuplicates(["row"]).select(F.col("row").alias("node"), "text")
-
-    links, links_at = stage(verified(stars, texts(stars.select(F.col("a").alias("row")).union(stars.select(F.col("b").alias("row"))).distinct()), k, percent), "links")
+    # rows that are no node of their own, or not the only ones of it, are found out exactly; all others are nodes as they stand
+    other, other_at = stage(members.where("node != row").select("row").union(members.groupBy("row").agg(F.count("*").alias("times")).where("times > 1").select("row")), "others")
+    full = base.where("n > 0").select("row", "n", "bands")
+    nodes = among(full, "row", other).join(members.where("node = row").select("row").distinct().hint("merge"), "row").dropDuplicates(["row"])
+    nodes = nodes.union(among(full, "row", other, but=True))
+    buckets, stars, used = leaders(nodes.withColumnRenamed("row", "node"), percent)
+    used += [base_at, members_at, other_at]
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        """node and text of the nodes; only their texts are sent, and few others."""
+        rows = among(docs.select(F.col("row").alias("node"), "text"), "node", nodes)
+        return rows.join(nodes.hint("merge"), "node").dropDuplicates(["node"])  # a semi-join would be moved before the filter
+
+    starred = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
+    links, at = stage(verified(stars, texts(starred), k, percent), "links")
     known, known_at = components(spark, links)
+    used += [at, *known_at]
 
-    labelled = buckets.join(known, "node", "left").select("bucket", "size", "node", F.coalesce("component", "node").alias("component"), "n")
+    labelled = buckets.join(known, "node", "left").select(F.col("bucket").alias("group"), "node", F.coalesce("component", "node").alias("component"), "n")
     # near copies share many bands: of buckets with the same members (by size and two sums of hashes) one is enough
-    mark = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("m2")]
-    mixed = labelled.groupBy("bucket", "size").agg(*mark).where("lo != hi").groupBy("size", "m1", "m2").agg(F.min("bucket").alias("bucket")).select("bucket")
-    open_ = labelled.join(mixed, "bucket", "left_semi").join(base.select(F.col("row").alias("node"), "low").dropDuplicates(["node"]), "node")
-    near, near_at = stage(near_components(open_, percent, bands * rows), "near")
+    mark = [F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("m2")]
+    mixed = labelled.groupBy("group").agg(*mark).where("lo != hi").groupBy("size", "m1", "m2").agg(F.min("group").alias("group")).select("group")
+    open_, at = stage(labelled.join(mixed, "group", "left_semi"), "open")
+    used.append(at)
+    seen = open_.select("node").distinct()
+    low = among(base.select(F.col("row").alias("node"), "low"), "node", seen).join(seen.hint("merge"), "node").dropDuplicates(["node"])
+    near, at = stage(near_components(open_, low, percent, bands * rows), "near")
+    used.append(at)
     if near.take(1):
         family, family_at = components(spark, near)
-        family = family.select(F.col("node").alias("component"), F.col("component").alias("family"))
+        family = family.select(F.col("node").alias("component"), F.col("component").alias("group"))
         inside = members.where("n > 0").select("node").distinct().join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component")).join(family, "component")
-        inside, inside_at = stage(inside, "families")
-        second, second_at = stage(links_within(inside, texts(inside.select(F.col("node").alias("row"))), k, percent), "links")
+        inside, inside_at = stage(inside.select("group", "component", "node"), "families")
+        second, second_at = stage(links_within(inside, texts(inside.select("node")), k, percent), "links")
+        used += [second_at, inside_at, *family_at]
         if second.take(1):
             known, at = components(spark, links.union(second))
-            known_at += at
-        known_at += [second_at, inside_at, *family_at]
-    final = members.join(known, "node", "left").select("doc_id", "row", "n", F.coalesce("component", "node").alias("c"))
-    least = final.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("f"))
-    result, _ = stage(final.join(least, "c").select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("f.row")).alias("first")), "groups")
-    unstage(spark, base_at, members_at, buckets_at, stars_at, links_at, near_at, *known_at)
+            used += at
+    # what is joined are written tables, so that a hot component or node is split like any skewed join
+    final, at = stage(members.join(known, "node", "left").select("doc_id", "row", "n", F.coalesce("component", "node").alias("c")), "labelled")
+    used.append(at)
+    several = final.groupBy("c").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("f")).where("size > 1")
+    several, at = stage(several.select("c", "least", F.col("f.row").alias("first")), "components")
+    used.append(at)
+    result = final.join(several.hint("merge"), "c", "left")
+    alone = F.col("first").isNull()
+    result, _ = stage(result.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), (alone | (F.col("row") == F.col("first"))).alias("first")), "groups")
+    unstage(spark, *used)
     return result
 
 
@@ -314,6 +347,13 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their group: one of each group of near-duplicates."""
-    first = groups(numbered(docs), k, percent).where("first").select(F.col("row").alias("_row"))
-    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    mine = "_row"
+    while mine in docs.columns:
+        mine += "_"
+    found = groups(numbered(docs), k, percent)
+    repeated = found.groupBy("row").agg(F.count("*").alias("times")).where("times > 1").select("row")
+    gone, gone_at = stage(found.where("NOT first").select("row").union(repeated), "gone")
+    rows = docs.withColumn(mine, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    first = found.where("first").select(F.col("row").alias(mine)).distinct().hint("merge")
+    kept = among(rows, mine, gone).join(first, mine).dropDuplicates([mine])
+    return among(rows, mine, gone, but=True).unionByName(kept).drop(mine)
