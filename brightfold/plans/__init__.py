@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,29 +22,6 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-_WHOLE = ContextVar("whole", default=False)
-
-
-def subset(df: DataFrame, condition: str) -> DataFrame:
-    """The rows that a query's SQL is limited to; all rows within NAME_whole."""
-    return df if _WHOLE.get() else df.where(condition)
-
-
-def whole(*names: str) -> None:
-    """Register NAME_whole beside each query, the same over whole tables; without SQL, which is too slow there."""
-    for name in names:
-
-        def f(spark: SparkSession, d: str, limited: Callable = QUERIES[name]) -> DataFrame:
-            token = _WHOLE.set(True)
-            try:
-                return limited(spark, d)
-            finally:
-                _WHOLE.reset(token)
-
-        f.__name__ = f"{name}_whole"
-        QUERIES[f.__name__] = f
-
-
 def load() -> None:
     """Import the modules that register queries."""
     from . import graphs, lists, ml, numbers, relational, streams, text, trees, windows  # noqa: F401

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs as op
 from ..sources import table
-from . import query, subset, whole
+from . import query
 
-LINKS = "g AS (SELECT DISTINCT l_partkey % 400 AS src, l_suppkey % 90 + 1000 AS dst FROM lineitem WHERE l_orderkey % 200 = 0), e AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g)"
+LINKS = "g AS (SELECT DISTINCT l_partkey % 400 AS src, l_suppkey % 90 + 1000 AS dst FROM lineitem), e AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g)"
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
-    return subset(table(spark, d, "lineitem"), "l_orderkey % 200 = 0").select((F.col("l_partkey") % 400).alias("src"), (F.col("l_suppkey") % 90 + 1000).alias("dst")).distinct()
+    return table(spark, d, "lineitem").select((F.col("l_partkey") % 400).alias("src"), (F.col("l_suppkey") % 90 + 1000).alias("dst")).distinct()
 
 
 REACH = f"WITH RECURSIVE {LINKS}, r(node, c) AS (SELECT src, src FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON r.c = e.src), k AS (SELECT node, min(c) AS component FROM r GROUP BY node)"
@@ -99,13 +99,13 @@ def alien_order(spark: SparkSession, d: str) -> DataFrame:
     return op.topological_depth(first.selectExpr("substr(word, i, 1) AS src", "substr(next, i, 1) AS dst"))
 
 
-CELLS = "c AS (SELECT p_partkey AS id, p_partkey // 20 AS r, p_partkey % 20 AS c, (p_size % 3 > 0)::INT AS v FROM part WHERE p_partkey < 200), e AS (SELECT a.id AS src, b.id AS dst FROM c a JOIN c b ON a.v = b.v AND abs(a.r - b.r) + abs(a.c - b.c) = 1)"
+CELLS = "c AS (SELECT p_partkey AS id, p_partkey // 20 AS r, p_partkey % 20 AS c, (p_size % 3 > 0)::INT AS v FROM part), e AS (SELECT a.id AS src, b.id AS dst FROM c a JOIN c b ON a.v = b.v AND abs(a.r - b.r) + abs(a.c - b.c) = 1)"
 ISLES = f"WITH RECURSIVE {CELLS}, k(id, m) AS (SELECT id, id FROM c UNION SELECT k.id, e.dst FROM k JOIN e ON e.src = k.m), i AS (SELECT c.*, (SELECT min(m) FROM k WHERE k.id = c.id) AS isle FROM c)"
 
 
 def isles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    c = subset(table(spark, d, "part"), "p_partkey < 200").select(k.alias("id"), F.floor(k / 20).alias("r"), (k % 20).alias("c"), (F.col("p_size") % 3 > 0).cast("int").alias("v"))
+    c = table(spark, d, "part").select(k.alias("id"), F.floor(k / 20).alias("r"), (k % 20).alias("c"), (F.col("p_size") % 3 > 0).cast("int").alias("v"))
     lab = op.components(op.grid_edges(c)).withColumnRenamed("node", "id")
     return c.join(lab, "id", "left").select("id", "r", "c", "v", F.coalesce("component", "id").alias("isle"))
 
@@ -115,7 +115,7 @@ def count_islands(spark: SparkSession, d: str) -> DataFrame:
     return isles(spark, d).groupBy("v").agg(F.countDistinct("isle").alias("n"))
 
 
-@query(f"{ISLES} SELECT id, CASE WHEN v = 0 AND isle NOT IN (SELECT isle FROM i WHERE r IN (0, 9) OR c IN (0, 19)) THEN 1 ELSE v END AS v FROM i")
+@query(f"{ISLES} SELECT id, CASE WHEN v = 0 AND isle NOT IN (SELECT isle FROM i WHERE r IN (0, (SELECT max(r) FROM c)) OR c IN (0, 19)) THEN 1 ELSE v END AS v FROM i")
 def surrounded_regions(spark: SparkSession, d: str) -> DataFrame:
     """Zeros that no zero links to the border become ones."""
     i = isles(spark, d)
@@ -133,6 +133,3 @@ def euler_circuit(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame({"g": [x["g"].iloc[0]], "walk": [op.euler_circuit(sorted(zip(x["src"].tolist(), x["dst"].tolist())))]})
 
     return n.groupBy("g").applyInPandas(f, "g int, walk array<long>")
-
-
-whole("components", "is_tree", "actor_distance", "count_islands", "surrounded_regions")

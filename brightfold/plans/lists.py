@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import query, subset, whole
+from . import query
 
 LIST = "l AS (SELECT c_nationkey AS g, c_custkey AS id, c_acctbal AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)"
 
@@ -55,19 +55,16 @@ def copy_random_list(spark: SparkSession, d: str) -> DataFrame:
     return x.join(r.select("g", "pos", F.col("id").alias("random")), ["g", "pos"]).select((F.col("id") + 100000).alias("id"), (F.col("next") + 100000).alias("next"), (F.col("random") + 100000).alias("random"))
 
 
-@query("SELECT o_orderkey AS parent, l_partkey AS child, l_linenumber AS pos FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 200")
+@query("SELECT o_orderkey AS parent, l_partkey AS child, l_linenumber AS pos FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def flatten_levels(spark: SparkSession, d: str) -> DataFrame:
     """Lists within a list, one row each: nested arrays flattened."""
-    o = subset(table(spark, d, "orders"), "o_orderkey < 200").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    o = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     nested = o.groupBy("o_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_linenumber")).alias("inner"))
     return nested.select(F.col("o_orderkey").alias("parent"), F.explode("inner").alias("x")).select("parent", F.col("x.l_partkey").alias("child"), F.col("x.l_linenumber").alias("pos"))
 
 
-@query("WITH a AS (SELECT list(p_size % 3 ORDER BY p_partkey) AS x FROM part WHERE p_partkey < 30), b AS (SELECT list(p_size % 3 + (p_partkey < 25)::INT * 5 ORDER BY p_partkey) AS y FROM part WHERE p_partkey < 30) SELECT (SELECT count(*) FROM range(1, 31) r(i) WHERE list_reverse(x)[1:i] = list_reverse(y)[1:i]) AS n FROM a, b")
+@query("WITH a AS (SELECT list(p_size % 3 ORDER BY p_partkey) AS x FROM part), b AS (SELECT list(p_size % 3 + (p_partkey < 25)::INT * 5 ORDER BY p_partkey) AS y FROM part) SELECT (SELECT count(*) FROM range(1, (SELECT count(*) + 1 FROM part)) r(i) WHERE list_reverse(x)[1:i] = list_reverse(y)[1:i]) AS n FROM a, b")
 def common_suffix(spark: SparkSession, d: str) -> DataFrame:
-    p = subset(table(spark, d, "part"), "p_partkey < 30")
+    p = table(spark, d, "part")
     both = p.select("p_partkey", ((F.col("p_size") % 3) == (F.col("p_size") % 3 + (F.col("p_partkey") < 25).cast("int") * 5)).alias("same"))
     return both.agg((F.max("p_partkey") - F.coalesce(F.max(F.when(~F.col("same"), F.col("p_partkey"))), F.lit(-1))).alias("n"))
-
-
-whole("flatten_levels", "common_suffix")

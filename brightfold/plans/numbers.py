@@ -11,12 +11,12 @@ from ..functions import numeric as fn
 from ..functions.strings import by_row
 from ..operators import puzzles
 from ..sources import table
-from . import query, subset, whole
+from . import query
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_orderkey + l_partkey AS total, l_partkey * l_suppkey AS product, (l_partkey - 1000) // (l_suppkey + 1) AS ratio FROM lineitem WHERE l_orderkey < 300 AND l_partkey >= 1000")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_orderkey + l_partkey AS total, l_partkey * l_suppkey AS product, (l_partkey - 1000) // (l_suppkey + 1) AS ratio FROM lineitem")
 def bit_arithmetic(spark: SparkSession, d: str) -> DataFrame:
-    return subset(table(spark, d, "lineitem").where("l_partkey >= 1000"), "l_orderkey < 300").selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_orderkey + l_partkey AS total", "l_partkey * l_suppkey AS product", "(l_partkey - 1000) div (l_suppkey + 1) AS ratio")
+    return table(spark, d, "lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_orderkey + l_partkey AS total", "l_partkey * l_suppkey AS product", "(l_partkey - 1000) div (l_suppkey + 1) AS ratio")
 
 
 @query("SELECT o_orderkey, floor(sqrt(o_orderkey))::BIGINT AS root, power(1.0 + o_orderkey / 100000.0, -3) AS cube FROM orders")
@@ -44,11 +44,11 @@ def long_bytes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", fn.bytes_of("o_orderkey").alias("bytes"))
 
 
-@query("""WITH p AS (SELECT s_suppkey AS k, s_suppkey % 10 AS x, (s_suppkey * 7) % 13 AS y FROM supplier WHERE s_suppkey < 60),
+@query("""WITH p AS (SELECT s_suppkey AS k, s_suppkey % 10 AS x, (s_suppkey * 7) % 13 AS y FROM supplier),
 l AS (SELECT a.k, CASE WHEN b.x = a.x THEN NULL ELSE (b.y - a.y)::DOUBLE / (b.x - a.x) END AS slope, count(*) AS n FROM p a JOIN p b ON a.k <> b.k GROUP BY ALL) SELECT max(n) + 1 AS most FROM l""")
 def most_collinear(spark: SparkSession, d: str) -> DataFrame:
     """Points on one line: by anchor and slope (in lowest terms of its float), the anchor itself counted."""
-    p = subset(table(spark, d, "supplier"), "s_suppkey < 60").selectExpr("s_suppkey AS k", "s_suppkey % 10 AS x", "(s_suppkey * 7) % 13 AS y")
+    p = table(spark, d, "supplier").selectExpr("s_suppkey AS k", "s_suppkey % 10 AS x", "(s_suppkey * 7) % 13 AS y")
     a, b = p.selectExpr("k AS k1", "x AS x1", "y AS y1"), p
     lines = a.join(b, F.col("k1") != F.col("k")).groupBy("k1", F.expr("if(x = x1, null, double(y - y1) / (x - x1))").alias("slope")).agg(F.count("*").alias("n"))
     return lines.agg((F.max("n") + 1).alias("most"))
@@ -175,6 +175,3 @@ def grid_games(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "part").groupBy((F.col("p_partkey") % 40).alias("g")).agg(F.expr("transform(array_sort(collect_list(struct(p_partkey, p_size))), x -> int(x.p_size % 3 > 0))").alias("v"))
     one = lambda f: by_row(lambda v: f([[*map(int, v[i : i + 7]), *[0] * (i + 7 - len(v))] for i in range(0, len(v), 7)]), "int")
     return g.select("g", one(puzzles.ones_rectangle)("v").alias("rectangle"), one(puzzles.ones_cross)("v").alias("cross"))
-
-
-whole("bit_arithmetic", "most_collinear")

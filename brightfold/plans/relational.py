@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as op
 from ..sources import table
-from . import query, subset, whole
+from . import query
 
 USER = 7
 
@@ -43,13 +43,13 @@ def anagram_groups(spark: SparkSession, d: str) -> DataFrame:
     return w.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("word", "key")
 
 
-CO = "SELECT DISTINCT o_custkey % 200 AS a, l_suppkey % 50 + 1000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_orderkey % 40 = 0"
+CO = "SELECT DISTINCT o_custkey % 200 AS a, l_suppkey % 50 + 1000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 EDGES = f"e AS (SELECT a AS src, b AS dst FROM ({CO}) UNION SELECT b, a FROM ({CO}))"
 
 
 def co_edges(spark: SparkSession, d: str) -> DataFrame:
     """Both directions of customer group - supplier group links."""
-    o = table(spark, d, "orders").join(subset(table(spark, d, "lineitem"), "l_orderkey % 40 = 0"), F.col("o_orderkey") == F.col("l_orderkey"))
+    o = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     e = o.select((F.col("o_custkey") % 200).alias("src"), (F.col("l_suppkey") % 50 + 1000).alias("dst")).distinct()
     return e.union(e.select("dst", "src"))
 
@@ -315,6 +315,3 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 def calendar_due(spark: SparkSession, d: str) -> DataFrame:
     """Events of ten minutes that are under way at one time."""
     return table(spark, d, "events").where("ts <= timestamp_ntz'2024-01-03 00:00:00' AND ts > timestamp_ntz'2024-01-02 23:50:00'").select("event_id", F.expr("ts + INTERVAL 10 MINUTES").alias("ends"))
-
-
-whole("second_degree")

@@ -1,4 +1,4 @@
-"""Queries over a complete tree made of parts, the first 200 or all: the children of node i are 2i and 2i + 1."""
+"""Queries over a complete tree made of all parts: the children of node i are 2i and 2i + 1."""
 
 from __future__ import annotations
 
@@ -10,17 +10,16 @@ from ..functions.strings import by_row
 from ..operators import treerows
 from ..operators import trees as op
 from ..sources import table
-from . import query, subset, whole
+from . import query
 
-N = 200
 TREE = f"""t AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent, p_size AS val,
-translate(substr(bin(p_partkey), 2), '01', 'LR') AS path, length(bin(p_partkey)) - 1 AS depth FROM part WHERE p_partkey BETWEEN 1 AND {N})"""
+translate(substr(bin(p_partkey), 2), '01', 'LR') AS path, length(bin(p_partkey)) - 1 AS depth FROM part WHERE p_partkey >= 1)"""
 UP = "a AS (SELECT x.id, y.id AS anc, y.val AS v, y.depth AS d FROM t x JOIN t y ON starts_with(x.path, y.path))"
 LEAF = "l AS (SELECT * FROM t WHERE id NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL))"
 
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
-    return op.heap_tree(subset(table(spark, d, "part").where("p_partkey >= 1"), f"p_partkey <= {N}"), "p_partkey", "p_size")
+    return op.heap_tree(table(spark, d, "part").where("p_partkey >= 1"), "p_partkey", "p_size")
 
 
 def _traverse(name: str, low: str, high: str, mark: str):
@@ -120,12 +119,13 @@ def vertical_sums(spark: SparkSession, d: str) -> DataFrame:
     return tree(spark, d).groupBy(col.alias("col")).agg(F.sum("val").alias("total"))
 
 
-@query(f"""WITH {TREE}, {UP}, p AS (SELECT a.id AS x, b.id AS y, max(a.d) AS d FROM a JOIN a b ON a.anc = b.anc AND a.id < b.id AND a.id % 20 = 0 AND b.id % 20 = 0 GROUP BY ALL)
+@query(f"""WITH {TREE}, {UP}, p AS (SELECT a.id AS x, b.id AS y, max(a.d) AS d FROM a JOIN a b ON a.anc = b.anc AND b.id = a.id + 1 GROUP BY ALL)
 SELECT p.x, p.y, l.anc AS lca, (s.depth + e.depth - 2 * p.d)::INTEGER AS distance FROM p JOIN a l ON l.id = p.x AND l.d = p.d JOIN t s ON s.id = p.x JOIN t e ON e.id = p.y""")
 def lowest_common_ancestor(spark: SparkSession, d: str) -> DataFrame:
+    """Of each node and the one that comes after it by id."""
     t = tree(spark, d)
-    up = subset(op.ancestors(t), "id % 20 = 0")
-    pairs = up.select(F.col("id").alias("x"), "anc").join(up.select(F.col("id").alias("y"), "anc"), "anc").where("x < y")
+    up = op.ancestors(t)
+    pairs = up.select(F.col("id").alias("x"), "anc").join(up.select(F.col("id").alias("y"), (F.col("id") - 1).alias("x"), "anc"), ["x", "anc"])
     depth = t.select(F.col("id").alias("anc"), "depth")
     best = pairs.join(depth, "anc").groupBy("x", "y").agg(F.max_by("anc", "depth").alias("lca"), F.max("depth").alias("d"))
     ends = best.join(t.select(F.col("id").alias("x"), F.col("depth").alias("dx")), "x").join(t.select(F.col("id").alias("y"), F.col("depth").alias("dy")), "y")
@@ -193,6 +193,3 @@ def max_path_sum(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame({"path_sum": [treerows.best_path(vals)], "independent": [treerows.independent(vals)]})
 
     return tree(spark, d).withColumn("g", F.lit(1)).groupBy("g").applyInPandas(f, "path_sum long, independent long")
-
-
-whole("pre_order", "in_order", "post_order", "level_lists", "zigzag_lists", "tree_depths", "is_balanced", "is_symmetric", "same_tree", "bst_check", "bst_recover", "path_sums", "path_sum_exists", "sum_numbers", "subtree_sums", "vertical_sums", "lowest_common_ancestor", "next_right", "linked_orders", "build_tree", "build_tree_post", "serialised_tree", "max_path_sum")

@@ -1,4 +1,4 @@
-"""Queries over whole tables against brute force on small tables that their limited forms leave rows out of."""
+"""Queries over whole tables against brute force on small tables."""
 
 import itertools
 from collections import defaultdict
@@ -41,12 +41,12 @@ def test_graphs_of_all_lines(spark, tables):
             if not edge:
                 break
             dist[start] |= dict.fromkeys(edge, n)
-    assert run(spark, "components_whole", d) == sorted((n, min(dist[n])) for n in near)
-    assert run(spark, "actor_distance_whole", d) == sorted(dist[10].items())
-    assert run(spark, "is_tree_whole", d) == [(False, False)]
+    assert run(spark, "components", d) == sorted((n, min(dist[n])) for n in near)
+    assert run(spark, "actor_distance", d) == sorted(dist[10].items())
+    assert run(spark, "is_tree", d) == [(False, False)]
     pairs = {(k % 5 % 200, s % 50 + 1000) for k, _, s in LINES}
     e = pairs | {(b, a) for a, b in pairs}
-    assert run(spark, "second_degree_whole", d) == sorted({(a, y) for a, b in e for x, y in e if b == x and a != y and (a, y) not in e})
+    assert run(spark, "second_degree", d) == sorted({(a, y) for a, b in e for x, y in e if b == x and a != y and (a, y) not in e})
 
 
 def part(n):
@@ -65,15 +65,15 @@ def test_trees_of_all_parts(spark, tables):
         return {"pre": [k, *left, *right], "in": [*left, k, *right], "post": [*left, *right, k]}[kind]
 
     for kind in ("pre", "in", "post"):
-        assert run(spark, f"{kind}_order_whole", d) == sorted((k, i) for i, k in enumerate(visit(kind), 1))
+        assert run(spark, f"{kind}_order", d) == sorted((k, i) for i, k in enumerate(visit(kind), 1))
     above = {k: [k >> i for i in range(k.bit_length())] for k in val}
     want = []
-    for x, y in itertools.combinations(sorted(val), 2):
+    for x, y in itertools.pairwise(sorted(val)):
         lca = max(set(above[x]) & set(above[y]))
         want.append((x, y, lca, x.bit_length() + y.bit_length() - 2 * lca.bit_length()))
-    assert run(spark, "lowest_common_ancestor_whole", d) == want
-    assert run(spark, "subtree_sums_whole", d) == [(k, sum(val[x] for x in val if k in above[x])) for k in val]
-    assert {r["id"] for r in plans.QUERIES["build_tree_whole"](spark, d).collect()} == set(val)
+    assert run(spark, "lowest_common_ancestor", d) == want
+    assert run(spark, "subtree_sums", d) == [(k, sum(val[x] for x in val if k in above[x])) for k in val]
+    assert {r["id"] for r in plans.QUERIES["build_tree"](spark, d).collect()} == set(val)
 
 
 def test_grids_of_all_rows(spark, tables):
@@ -95,15 +95,15 @@ def test_grids_of_all_rows(spark, tables):
         isles[cell[at][0]] += 1
         if not cell[at][0] and not any(r in (0, 12) or c in (0, 19) for r, c in isle):
             inside |= {cell[x][1]: 1 for x in isle}
-    assert run(spark, "count_islands_whole", d) == sorted(isles.items())
-    assert run(spark, "surrounded_regions_whole", d) == sorted(inside.items())
+    assert run(spark, "count_islands", d) == sorted(isles.items())
+    assert run(spark, "surrounded_regions", d) == sorted(inside.items())
     g = [[(10 * r + c) * 7919 % 23 - 11 for c in range(10)] for r in range(12)]
     best = max(sum(sum(row[c:e]) for row in g[r:s]) for r in range(12) for s in range(r + 1, 13) for c in range(10) for e in range(c + 1, 11))
-    assert run(spark, "max_rectangle_sum_whole", d) == [(max(best, 0),)]
+    assert run(spark, "max_rectangle_sum", d) == [(max(best, 0),)]
     least = {}
     for r, c in itertools.product(range(12), range(10)):
         least[r, c] = g[r][c] + min((least[x] for x in ((r - 1, c), (r, c - 1)) if x in least), default=0)
-    assert run(spark, "grid_min_path_whole", d) == [(least[11, 9],)]
+    assert run(spark, "grid_min_path", d) == [(least[11, 9],)]
 
 
 def test_rows_past_the_ids_of_the_sql(spark, tables):
@@ -117,12 +117,12 @@ def test_rows_past_the_ids_of_the_sql(spark, tables):
         supplier=("s_suppkey long", [(k,) for k in range(90)]),
         customer=("c_custkey long", [(1,), (199,), (200,), (4321,)]),
     )
-    assert [r[0] for r in run(spark, "bit_arithmetic_whole", d)] == [x[0] for x in lines]
-    assert [(r["l_orderkey"], r["result"]) for r in plans.QUERIES["evaluate_whole"](spark, d).orderBy("l_orderkey").collect()] == [(o, q + s * n - o) for o, q, s, n in lines]
+    assert [r[0] for r in run(spark, "bit_arithmetic", d)] == [x[0] for x in lines]
+    assert [(r["l_orderkey"], r["result"]) for r in plans.QUERIES["evaluate"](spark, d).orderBy("l_orderkey").collect()] == [(o, q + s * n - o) for o, q, s, n in lines]
     nexts = {k: next(x for x in itertools.count(k + 1) if str(x) == str(x)[::-1]) for (k,) in orders}
-    assert run(spark, "next_palindrome_whole", d) == sorted(nexts.items())
-    assert {r[0] for r in run(spark, "decode_ways_whole", d)} == {k for (k,) in orders}
-    assert [r[0] for r in run(spark, "interleaves_whole", d)] == list(range(400))
+    assert run(spark, "next_palindrome", d) == sorted(nexts.items())
+    assert {r[0] for r in run(spark, "decode_ways", d)} == {k for (k,) in orders}
+    assert [r[0] for r in run(spark, "interleaves", d)] == list(range(400))
     assert [r[0] for r in run(spark, "twenty_four", d)] == list(range(400))
     text = {k: str(25525511100 + k * 37) for k in (1, 199, 200, 4321)}
 
@@ -131,7 +131,7 @@ def test_rows_past_the_ids_of_the_sql(spark, tables):
             return [""] if not s else []
         return [x for i in (1, 2, 3) if s[:i] and str(int(s[:i])) == s[:i] and int(s[:i]) < 256 for x in addresses(s[i:], n - 1)]
 
-    assert {r[0] for r in run(spark, "restore_ip_whole", d)} == {k for k, s in text.items() if addresses(s, 4)}
+    assert {r[0] for r in run(spark, "restore_ip", d)} == {k for k, s in text.items() if addresses(s, 4)}
     points = [(k % 10, k * 7 % 13) for k in range(90)]
     most = 0
     for i, (x, y) in enumerate(points):
@@ -140,13 +140,13 @@ def test_rows_past_the_ids_of_the_sql(spark, tables):
             if i != j:
                 lines_at[None if a == x else (b - y) / (a - x)] += 1
         most = max(most, *lines_at.values())
-    assert run(spark, "most_collinear_whole", d) == [(most + 1,)]
-    assert run(spark, "common_suffix_whole", d) == [(399 - 24,)]
+    assert run(spark, "most_collinear", d) == [(most + 1,)]
+    assert run(spark, "common_suffix", d) == [(399 - 24,)]
 
 
 def test_flattened_lists_of_all_orders(spark, tables):
     d = tables(orders=("o_orderkey long", [(1,), (200,), (900,)]), lineitem=("l_orderkey long, l_partkey long, l_linenumber int", [(1, 5, 1), (200, 6, 1), (900, 7, 1), (900, 8, 2)]))
-    assert run(spark, "flatten_levels_whole", d) == [(1, 5, 1), (200, 6, 1), (900, 7, 1), (900, 8, 2)]
+    assert run(spark, "flatten_levels", d) == [(1, 5, 1), (200, 6, 1), (900, 7, 1), (900, 8, 2)]
 
 
 def test_whole_lists(spark, tables):
@@ -158,9 +158,9 @@ def test_whole_lists(spark, tables):
     d = tables(events=("user_id long, event_id long, ts timestamp_ntz, value double", events))
     cents = {u: [round(v * 100) for v in vs] for u, vs in vals.items()}
     areas = {u: max(min(v[a:b]) * (b - a) for a in range(len(v)) for b in range(a + 1, len(v) + 1)) for u, v in cents.items()}
-    assert run(spark, "histogram_rectangle_whole", d) == sorted(areas.items())
+    assert run(spark, "histogram_rectangle", d) == sorted(areas.items())
     water = {u: max((b - a) * min(v[a], v[b]) for a, b in itertools.combinations(range(len(v)), 2)) for u, v in cents.items()}
-    assert run(spark, "container_water_whole", d) == sorted(water.items())
+    assert run(spark, "container_water", d) == sorted(water.items())
     swapped = {r["user_id"]: r["members"] for r in plans.QUERIES["least_after_swaps"](spark, d).collect()}
     assert {u: sorted(m) for u, m in swapped.items()} == {u: sorted(v) for u, v in cents.items()}
 
