@@ -30,7 +30,7 @@ def wildcard(s: Column, pattern: str) -> Column:
 
 
 def full_regex(s: Column, pattern: str) -> Column:
-    return s.rlike(f"^(?:{pattern})$")
+    return s.rlike(rf"\A(?:{pattern})\z")
 
 
 def common_prefix(strings: Column) -> Column:
@@ -50,8 +50,8 @@ def excel_number(s: str) -> Column:
 
 
 def excel_column(n: str) -> Column:
-    """Up to seven letters: digits 1 to 26, carried by (n - 1)."""
-    return F.expr(f"aggregate(sequence(1, 7), named_struct('n', bigint({n}), 's', ''), (a, i) -> if(a.n > 0, named_struct('n', (a.n - 1) div 26, 's', concat(char(65 + (a.n - 1) % 26), a.s)), a), a -> a.s)")
+    """Digits 1 to 26, carried by (n - 1); fourteen letters hold every long."""
+    return F.expr(f"aggregate(sequence(1, 14), named_struct('n', bigint({n}), 's', ''), (a, i) -> if(a.n > 0, named_struct('n', (a.n - 1) div 26, 's', concat(char(65 + (a.n - 1) % 26), a.s)), a), a -> a.s)")
 
 
 def simplify_path(s: str) -> Column:
@@ -66,7 +66,7 @@ def decodings(s: str) -> Column:
 
 
 def run_lengths(s: str) -> Column:
-    """Runs as [count]char; a run of digits before an x is escaped as count, x and its characters: each digit by its own run."""
+    """Runs as [count]char, the count left out where it is 1; nothing is escaped."""
     return F.expr(f"concat_ws('', transform(regexp_extract_all({s}, '((.)\\\\2*)', 1), r -> concat(if(length(r) > 1, string(length(r)), ''), left(r, 1))))")
 
 
@@ -94,11 +94,16 @@ def first_single(s: str) -> Column:
 
 
 def by_row(f: Callable, kind: str) -> Callable[..., Column]:
-    """A Python function as a column function, in Arrow batches; null in, null out."""
+    """A Python function as a column function, in Arrow batches; null (or no number) in, null out. Beside a null, whole numbers reach
+    pandas as floats: they are made whole again."""
+
+    def missing(x: object) -> bool:
+        return x is None or isinstance(x, float) and x != x
 
     @F.pandas_udf(kind)
     def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series([None if any(x is None for x in r) else f(*r) for r in zip(*columns)], dtype=object)
+        columns = [c.convert_dtypes().astype(object).where(c.notna(), None) if c.dtype.kind == "f" and c.isna().any() else c for c in columns]
+        return pd.Series([None if any(map(missing, r)) else f(*r) for r in zip(*columns)], dtype=object)
 
     return run
 

@@ -3,16 +3,21 @@ checkpoint(), in the folder that the session names in spark.checkpoint.dir."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint; where the session names no folder, one of its own is set, as in tests."""
+    """A checkpoint; where a session on one machine names no folder, one of its own is set, as in tests."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints")
     return df.checkpoint()
 
 
@@ -48,13 +53,13 @@ def topological_depth(edges: DataFrame) -> DataFrame:
     """node, depth: the longest way to each node of a graph without cycles, by removing the nodes that nothing enters; nodes on cycles are left out."""
     left = cut(edges.select("src", "dst").distinct())
     nodes = cut(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
-    out, depth = None, 0
+    out, depth = nodes.limit(0).withColumn("depth", F.lit(0)), 0
     while True:
         free = cut(nodes.join(left.select(F.col("dst").alias("node")), "node", "left_anti"))
         if not free.take(1):
             return out
         layer = free.withColumn("depth", F.lit(depth))
-        out = layer if out is None else out.union(layer)
+        out = out.union(layer)
         nodes = cut(nodes.join(free, "node", "left_anti"))
         left = cut(left.join(free.withColumnRenamed("node", "src"), "src", "left_anti"))
         depth += 1

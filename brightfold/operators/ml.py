@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 def log_softmax(x: str) -> Column:
     """x - log(sum(exp(x))), shifted by the largest so that nothing overflows."""
-    return F.expr(f"transform({x}, v -> v - array_max({x}) - ln(aggregate(transform({x}, u -> exp(u - array_max({x}))), 0D, (a, u) -> a + u)))")
+    total = f"aggregate({x}, 0D, (a, u) -> a + exp(u - m))"
+    # a one-element array binds what is computed once a row
+    return F.expr(f"transform(array(array_max({x})), m -> transform(array(m + ln({total})), z -> transform({x}, v -> v - z))[0])[0]")
 
 
 def dot(x: str, w: str) -> str:
@@ -23,8 +25,9 @@ def linear(x: str, weights: np.ndarray, bias: np.ndarray) -> Column:
 
 def layer_norm(x: str, eps: float = 1e-5) -> Column:
     mean = f"(aggregate({x}, 0D, (s, v) -> s + v) / size({x}))"
-    var = f"(aggregate({x}, 0D, (s, v) -> s + (v - {mean}) * (v - {mean})) / size({x}))"
-    return F.expr(f"transform({x}, v -> (v - {mean}) / sqrt({var} + {eps!r}D))")
+    deviation = f"sqrt(aggregate({x}, 0D, (s, v) -> s + (v - m) * (v - m)) / size({x}) + {eps!r}D)"
+    # a one-element array binds what is computed once a row
+    return F.expr(f"transform(array({mean}), m -> transform(array({deviation}), d -> transform({x}, v -> (v - m) / d))[0])[0]")
 
 
 def train_softmax(df: DataFrame, features: str, label: str, classes: int, dim: int, rate: float, epochs: int) -> tuple[np.ndarray, np.ndarray, list[float]]:

@@ -78,7 +78,7 @@ def layer_norm(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("y", op.layer_norm("x")).select("vec_id", F.transform("y", lambda v: F.round(v, 6)).alias("v"))
 
 
-NAMES = ["shirt", "trousers", "pullover", "dress", "coat", "sandal", "blouse", "sneaker", "bag", "boot"]
+NAMES = [f"label {i}" for i in range(CLASSES)]
 
 
 @query(f"WITH {LOGITS} SELECT vec_id, ({NAMES!r})[list_position(p, list_max(p))] AS name FROM p")
