@@ -8,7 +8,7 @@ marker features (many times likelier in toxic texts), grade 2.
 The model is fitted on the driver from a bounded sample, the `sample` labelled rows of smallest hash (a parameter), and is
 a table of at most `most_features` weights, so what is broadcast doesn't grow with the corpus. Scoring is one narrow pass.
 
-Defined results: null or empty text has no feature and the grade of the thresholds alone; without labels, or with one
+Defined results: rows that repeat an id are each scored, and each count as labelled; a null id is scored and has no label; null or empty text has no feature and the grade of the thresholds alone; without labels, or with one
 class only, nothing is rejected (severity 0); equal rows score equally; an empty table gives an empty result.
 """
 
@@ -23,9 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, pick
+from .common import WordHashes, pick, stage, texts, trim, unstage, with_ids
 
 PREFIXES = (4, 5, 6, 7)
+LEAST_TEXTS = 2  # texts that a feature must be in
 LEAST = 3.0  # standard errors by which a feature must be likelier in toxic texts
 WORD = re.compile(r"\w+")
 
@@ -74,7 +75,7 @@ class Scorer:
     def __call__(self, text: str | None) -> np.ndarray:
         if not len(self.model.thetas):
             return np.zeros(1)
-        if len(self.kept) > 500_000:
+        if len(self.kept) > 200_000:
             self.kept.clear()
         found: set[int] = set()
         for w in set(WORD.findall(text.lower())) if text else ():
@@ -109,19 +110,11 @@ def fit_grades(texts: list[np.ndarray], labels: np.ndarray, most_features: int =
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     if not len(texts) or len(set(labels.tolist())) < 2:
         return empty
-    everything = np.concatenate(texts)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in texts])
-    least, kept, base = 3 if len(texts) >= 1000 else 2, [], 0
-    for part in range(8):  # an eighth of the hashes at a time: few of them are kept
-        mine = everything >> np.uint64(61) == part
-        own = owner[mine]
-        found, cols, times = np.unique(everything[mine], return_inverse=True, return_counts=True)
-        keep = (times >= least) & telling(labels, own, cols, len(found), least_errors)
-        held = keep[cols]
-        kept.append((found[keep], times[keep], own[held], base + (np.cumsum(keep) - 1)[cols[held]]))
-        base += int(keep.sum())
-    del everything, owner
-    features, times, rows, cols = (np.concatenate(x) for x in zip(*kept))
+    found, cols, times = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    keep = (times >= LEAST_TEXTS) & telling(labels, owner, cols, len(found), least_errors)
+    held = keep[cols]
+    features, times, rows, cols = found[keep], times[keep], owner[held], (np.cumsum(keep) - 1)[cols[held]]
     if len(features) > most_features:  # the most frequent ones
         keep = np.zeros(len(features), bool)
         keep[np.argsort(-times, kind="stable")[:most_features]] = True
@@ -157,19 +150,36 @@ def fit_grades(texts: list[np.ndarray], labels: np.ndarray, most_features: int =
     return Model(features, w, np.cumsum(np.concatenate([p[:1], np.exp(p[1:])])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 5_000) -> Model:
-    """Fit on the `sample` labelled rows of smallest hash."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 5_000, most_features: int = 200_000) -> Model:
+    """Fit on the `sample` rows of smallest hash among those of the `sample` labels of smallest hash, and the `most_features` features
+    in most texts of those that speak for toxicity. Features are counted by the executors; the driver gets those that are kept."""
+    spark = docs.sparkSession
     labelled = pick(labels, doc_id="long", toxic="int").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    rows = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("key"), "text", "toxic")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "x": [features.text(t).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"key": b["key"], "toxic": b["toxic"], "x": [features.text(t).view(np.int64) for t in b["text"]]})
+        trim()
+
+    held, at = stage(rows.mapInPandas(run, "key long, toxic int, x array<long>").orderBy("key", "toxic").limit(sample).repartition("key"), "labelled")
+    n = held.agg(F.sum("toxic").alias("pos"), F.count("*").alias("all")).first()
+    pos, neg = F.sum("toxic") + 0.5, F.sum(1 - F.col("toxic")) + 0.5
+    each = held.select("toxic", F.explode("x").alias("f")).groupBy("f").agg(pos.alias("pos"), neg.alias("neg"))
+    odds = F.log(F.col("pos") / ((n.pos or 0) + 1)) - F.log(F.col("neg") / (n.all - (n.pos or 0) + 1))
+    each = each.where((F.col("pos") + F.col("neg") >= LEAST_TEXTS + 1) & (odds >= 0.999 * LEAST * F.sqrt(1 / F.col("pos") + 1 / F.col("neg"))))
+    kept = np.sort(np.array([r.f for r in each.orderBy(F.desc(F.col("pos") + F.col("neg")), "f").limit(most_features).select("f").collect()], np.int64))
+
+    def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(x=[np.asarray(x)[np.isin(x, kept)].tobytes() for x in b["x"]])
+        trim()
 
-    got = rows.mapInPandas(run, "doc_id long, toxic int, x binary").orderBy("doc_id", "toxic", "x").limit(2 * sample).collect()
-    return fit_grades([np.frombuffer(r.x, np.uint64) for r in got], np.array([r.toxic for r in got], np.int64))
+    got = held.mapInPandas(only, "key long, toxic int, x binary").orderBy("key", "toxic").collect()
+    unstage(spark, at)
+    return fit_grades([np.sort(np.frombuffer(r.x, np.uint64)) for r in got], np.array([r.toxic for r in got], np.int64), most_features)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -184,9 +194,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 above = scorer(text)
                 each = -np.diff(np.concatenate([[1.0], above, [0.0]]))
                 out.append((int(each.argmax()), float(above.sum()), float(above[0]), bool(above[0] >= 0.5)))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["grade", "severity", "p_toxic", "rejected"])], axis=1).astype({"doc_id": "Int64"})
+            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["grade", "severity", "p_toxic", "rejected"])], axis=1)
+        trim()
 
-    return pick(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, grade int, severity double, p_toxic double, rejected boolean")
+    return with_ids(texts(docs).mapInPandas(run, "doc_id string, grade int, severity double, p_toxic double, rejected boolean"))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -198,5 +209,6 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(shared.value)
         for t in texts:
             yield pd.Series([bool(scorer(x)[0] >= 0.5) for x in t], dtype="boolean")
+        trim()
 
     return docs.where(~rejected(F.col("text").cast("string")))
