@@ -176,7 +176,7 @@ class WordBpe:
         cuts = np.append(before, len(ids))[np.searchsorted(first, bounds)]
         return np.split(ids, cuts)
 
-    def texts(self, texts: list[str | None], together: int = 3_000_000) -> list[np.ndarray]:
+    def texts(self, texts: list[str | None], together: int = 1_000_000) -> list[np.ndarray]:
         """The ids of each text, null as empty; texts of about `together` characters are taken at once."""
         out: list = [self.pool[:0]] * len(texts)
         places, held, size = [], [], 0
