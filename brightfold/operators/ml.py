@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 def log_softmax(x: str) -> Column:
     """x - log(sum(exp(x))), shifted by the largest so that nothing overflows."""
-    total = f"aggregate({x}, 0D, (a, u) -> a + exp(u - m))"
-    # a one-element array binds what is computed once a row
-    return F.expr(f"transform(array(array_max({x})), m -> transform(array(m + ln({total})), z -> transform({x}, v -> v - z))[0])[0]")
+    total = f"aggregate({x}, 0D, (_sum, _v) -> _sum + exp(_v - _most))"
+    # a one-element array binds what is computed once a row, to names that no column has
+    return F.expr(f"transform(array(array_max({x})), _most -> transform(array(_most + ln({total})), _log -> transform({x}, _v -> _v - _log))[0])[0]")
 
 
 def dot(x: str, w: str) -> str:
@@ -24,10 +24,10 @@ def linear(x: str, weights: np.ndarray, bias: np.ndarray) -> Column:
 
 
 def layer_norm(x: str, eps: float = 1e-5) -> Column:
-    mean = f"(aggregate({x}, 0D, (s, v) -> s + v) / size({x}))"
-    deviation = f"sqrt(aggregate({x}, 0D, (s, v) -> s + (v - m) * (v - m)) / size({x}) + {eps!r}D)"
-    # a one-element array binds what is computed once a row
-    return F.expr(f"transform(array({mean}), m -> transform(array({deviation}), d -> transform({x}, v -> (v - m) / d))[0])[0]")
+    mean = f"aggregate({x}, 0D, (_sum, _v) -> _sum + _v) / size({x})"
+    deviation = f"sqrt(aggregate({x}, 0D, (_sum, _v) -> _sum + (_v - _mean) * (_v - _mean)) / size({x}) + {eps!r}D)"
+    # a one-element array binds what is computed once a row, to names that no column has
+    return F.expr(f"transform(array({mean}), _mean -> transform(array({deviation}), _dev -> transform({x}, _v -> (_v - _mean) / _dev))[0])[0]")
 
 
 def train_softmax(df: DataFrame, features: str, label: str, classes: int, dim: int, rate: float, epochs: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
