@@ -3,21 +3,15 @@ checkpoint(), in the folder that the session names in spark.checkpoint.dir."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint; where a session on one machine names no folder, one of its own is set, as in tests."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or "/tmp/checkpoints")
+    """A checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -30,37 +30,60 @@ def layer_norm(x: str, eps: float = 1e-5) -> Column:
     return F.expr(f"transform(array({mean}), _mean -> transform(array({deviation}), _dev -> transform({x}, _v -> (_v - _mean) / _dev))[0])[0]")
 
 
+def gradient(df: DataFrame, features: str, label: str, weights: np.ndarray) -> tuple[np.ndarray, float, int]:
+    """Sums over the rows, in one pass: the loss's gradient by weights (classes x (features + 1)), the loss, and the number of rows. A task
+    returns one matrix, so what is collected doesn't grow with the rows."""
+
+    def part(batches):
+        import pandas as pd
+
+        total, loss, n = np.zeros_like(weights), 0.0, 0
+        for b in batches:
+            if len(b):
+                x = np.column_stack([np.stack(b[features].to_numpy()).astype(float), np.ones(len(b))])
+                y = b[label].to_numpy()
+                z = x @ weights.T
+                z -= z.max(1, keepdims=True)
+                p = np.exp(z)
+                p /= p.sum(1, keepdims=True)
+                loss -= np.log(p[np.arange(len(y)), y]).sum()
+                p[np.arange(len(y)), y] -= 1
+                total += p.T @ x
+                n += len(y)
+        yield pd.DataFrame({"i": [0], "g": [total.reshape(-1)], "loss": [loss], "n": [n]})
+
+    sums = df.select(features, label).mapInPandas(part, "i int, g array<double>, loss double, n long")
+    r = sums.select("n", "loss", F.posexplode("g").alias("k", "g")).groupBy("k").agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.sum("loss").alias("loss")).orderBy("k").collect()
+    if not r:
+        return np.zeros_like(weights), 0.0, 0
+    return np.array([x["g"] for x in r]).reshape(weights.shape), r[0]["loss"], r[0]["n"]
+
+
 def train_softmax(df: DataFrame, features: str, label: str, classes: int, dim: int, rate: float, epochs: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Full-batch gradient descent: a round is one pass whose tasks each return one matrix of classes x (features + 1), so what is collected
-    doesn't grow with the rows."""
-    w = np.zeros((classes, dim + 1))
-    losses = []
+    """Full-batch gradient descent, a pass an epoch."""
+    w, losses = np.zeros((classes, dim + 1)), []
+    for _ in range(epochs):
+        g, loss, n = gradient(df, features, label, w.copy())
+        losses.append(loss / max(1, n))
+        w -= rate * g / max(1, n)
+    return w[:, :-1], w[:, -1], losses
+
+
+def train_batches(df: DataFrame, key: str, features: str, label: str, classes: int, dim: int, rate: float, epochs: int, size: int = 64, momentum: float = 0.0) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Mini-batch descent in order, with momentum: a batch is a range of `size` keys, which the scan is filtered by (the last may be shorter, an
+    empty one makes no step). A step is one pass over its batch; a rows-weighted mean loss an epoch, taken as the weights were at each step."""
+    w, losses = np.zeros((classes, dim + 1)), []
+    speed = np.zeros_like(w)
+    first, last = df.agg(F.min(key), F.max(key)).first()
     for _ in range(epochs):
-        weights = w.copy()
-
-        def part(batches, weights=weights):
-            import pandas as pd
-
-            total, loss, n = np.zeros_like(weights), 0.0, 0
-            for b in batches:
-                if len(b):
-                    x = np.column_stack([np.stack(b[features].to_numpy()).astype(float), np.ones(len(b))])
-                    y = b[label].to_numpy()
-                    z = x @ weights.T
-                    z -= z.max(1, keepdims=True)
-                    p = np.exp(z)
-                    p /= p.sum(1, keepdims=True)
-                    loss -= np.log(p[np.arange(len(y)), y]).sum()
-                    p[np.arange(len(y)), y] -= 1
-                    total += p.T @ x
-                    n += len(y)
-            yield pd.DataFrame({"i": [0], "g": [total.reshape(-1)], "loss": [loss], "n": [n]})
-
-        sums = df.select(features, label).mapInPandas(part, "i int, g array<double>, loss double, n long")
-        r = sums.select("n", "loss", F.posexplode("g").alias("k", "g")).groupBy("k").agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.sum("loss").alias("loss")).orderBy("k").collect()
-        n = max(1, r[0]["n"]) if r else 1
-        losses.append(r[0]["loss"] / n if r else 0.0)
-        w -= rate * np.array([x["g"] for x in r]).reshape(w.shape) / n if r else 0
+        total = seen = 0
+        for start in range(first, last + 1, size) if first is not None else ():
+            g, loss, n = gradient(df.where(F.col(key).between(start, start + size - 1)), features, label, w.copy())
+            if n:
+                speed = momentum * speed + g / n
+                w = w - rate * speed
+                total, seen = total + loss, seen + n
+        losses.append(total / max(1, seen))
     return w[:, :-1], w[:, -1], losses
 
 

@@ -102,3 +102,24 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "s", end: str =
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0)).withColumn("_isle", F.sum("_new").over(w))
     return marked.groupBy(*keys, "_isle").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_isle")
+
+
+def intersection(a: DataFrame, b: DataFrame, key: str, place: str) -> DataFrame:
+    """The keys that are in both lists, each with its first place in a."""
+    return a.join(b.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.min(place).alias(place))
+
+
+def next_value(df: DataFrame, by: list[str], value: str, holds: Column) -> DataFrame:
+    """df with `following`: the least value from the row's own on, in its group, for which the condition holds; null if there is none."""
+    ahead = Window.partitionBy(*by).orderBy(value).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    return df.withColumn("following", F.min(F.when(holds, F.col(value))).over(ahead))
+
+
+def first_lines(lines: DataFrame, line: str, *place: str) -> DataFrame:
+    """Duplicate lines removed: each distinct line with its first place. Copies are combined before the shuffle; a null line is a line."""
+    return lines.groupBy(line).agg(F.min(F.struct(*place)).alias("_place")).select(line, "_place.*")
+
+
+def shuffled(df: DataFrame, seed: int, *keys: str) -> DataFrame:
+    """df in an order told by a seeded hash of the keys: a sort by ranges, so that no task holds the whole."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)

@@ -94,6 +94,13 @@ def softmax_regression(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch int, loss double")
 
 
+@query()
+def batch_training(spark: SparkSession, d: str) -> DataFrame:
+    """Training by batches of 64 in order: the loss of each epoch."""
+    *_, losses = op.train_batches(table(spark, d, "embeddings"), "vec_id", "embedding", "label", CLASSES, DIM, 0.5, 2)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch int, loss double")
+
+
 @query()
 def shuffled_batches(spark: SparkSession, d: str) -> DataFrame:
     """A seeded shuffle in batches of 64."""

@@ -175,3 +175,17 @@ def grid_games(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "part").groupBy((F.col("p_partkey") % 40).alias("g")).agg(F.expr("transform(array_sort(collect_list(struct(p_partkey, p_size))), x -> int(x.p_size % 3 > 0))").alias("v"))
     one = lambda f: by_row(lambda v: f([[*map(int, v[i : i + 7]), *[0] * (i + 7 - len(v))] for i in range(0, len(v), 7)]), "int")
     return g.select("g", one(puzzles.ones_rectangle)("v").alias("rectangle"), one(puzzles.ones_cross)("v").alias("cross"))
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey::HUGEINT + (2147483648 - l_partkey)::HUGEINT + (2147483647::HUGEINT + l_suppkey) * 2147483648 + 2 * l_orderkey::HUGEINT * 2147483648 * 2147483648 AS t FROM lineitem)
+SELECT l_orderkey, l_linenumber, [(t % 2147483648)::BIGINT, ((t // 2147483648) % 2147483648)::BIGINT, (t // 2147483648 // 2147483648)::BIGINT] AS digits FROM t""")
+def big_addition(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of three digits in base 2^31 that carry, the least digit first."""
+    x = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "array(l_partkey, 2147483647L, l_orderkey) AS a", "array(2147483648L - l_partkey, l_suppkey, l_orderkey) AS b")
+    return x.select("l_orderkey", "l_linenumber", fn.add_digits("a", "b").alias("digits"))
+
+
+@query("SELECT o_orderkey, (('1' || repeat(o_orderkey::VARCHAR, 3) || repeat('9', (o_orderkey % 5)::INT))::HUGEINT + 1)::VARCHAR AS next FROM orders")
+def big_increment(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "orders").selectExpr("o_orderkey", "concat('1', repeat(string(o_orderkey), 3), repeat('9', int(o_orderkey % 5))) AS s")
+    return x.select("o_orderkey", fn.plus_one("s").alias("next"))

@@ -315,3 +315,30 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 def calendar_due(spark: SparkSession, d: str) -> DataFrame:
     """Events of ten minutes that are under way at one time."""
     return table(spark, d, "events").where("ts <= timestamp_ntz'2024-01-03 00:00:00' AND ts > timestamp_ntz'2024-01-02 23:50:00'").select("event_id", F.expr("ts + INTERVAL 10 MINUTES").alias("ends"))
+
+
+@query("SELECT a.l_partkey AS part, min(a.l_orderkey) AS place FROM lineitem a WHERE a.l_linenumber = 1 AND a.l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 2) GROUP BY a.l_partkey")
+def list_intersection(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that stand first in an order and second in another, with the first order where they stand first."""
+    x = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("place"), "l_linenumber")
+    return op.intersection(x.where("l_linenumber = 1"), x.where("l_linenumber = 2"), "part", "place")
+
+
+@query("SELECT o_orderkey, min(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS following FROM orders")
+def next_satisfying(spark: SparkSession, d: str) -> DataFrame:
+    """For each order the customer's next one, itself included, that is filled."""
+    return op.next_value(table(spark, d, "orders"), ["o_custkey"], "o_orderkey", F.col("o_orderstatus") == "F").select("o_orderkey", "following")
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), r AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS n, unnest(x) AS line FROM l)
+SELECT line, min(p).doc_id AS doc_id, min(p).n AS n FROM (SELECT line, {'doc_id': doc_id, 'n': n} AS p, doc_id, n FROM r) GROUP BY line""")
+def distinct_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Duplicate lines of all documents removed."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return op.first_lines(lines.select("line", "doc_id", (F.col("i") + 1).cast("long").alias("n")), "line", "doc_id", "n")
+
+
+@query()
+def shuffled_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return op.shuffled(lines, 11, "doc_id", "n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,3 +24,14 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def save(df: DataFrame, path: str) -> None:
     """The sink: Parquet, as Spark partitions it."""
     df.write.mode("overwrite").parquet(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where a session on one machine names none, one of its own is set, as in tests."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints")
+    return sc.getCheckpointDir()

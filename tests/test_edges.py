@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from brightfold import streaming
+from brightfold.functions import numeric
 from brightfold.functions import strings as fn
-from brightfold.operators import graphs, ml
+from brightfold.operators import graphs, ml, relational
 
 
 def test_null_beside_numbers(spark):
@@ -33,3 +35,52 @@ def test_layers(spark):
     a, b = x.select(ml.log_softmax("x").alias("p"), ml.layer_norm("x").alias("n")).collect()
     assert [round(v, 6) for v in a.p] == [-3.169846, -2.169846, -0.169846] and [round(v, 4) for v in a.n] == [-1.069, -0.2673, 1.3363]
     assert [round(v, 6) for v in b.p] == [-1.098612] * 3 and b.n == [0.0] * 3
+
+
+def test_big_numbers(spark):
+    base = 1 << 31
+    value = lambda digits: sum(x * base**i for i, x in enumerate(digits))
+    pairs = [([base - 1, base - 1], [1]), ([], []), ([5], [base - 1, base - 1, 7]), ([0], [0])]
+    got = spark.createDataFrame(pairs, "a array<long>, b array<long>").coalesce(1).select(numeric.add_digits("a", "b").alias("s")).collect()
+    assert [value(r.s) for r in got] == [value(a) + value(b) for a, b in pairs]
+    texts = ["9" * 50, "1" + "0" * 60, "19", "0", "8999", None]
+    got = spark.createDataFrame([(s,) for s in texts], "s string").coalesce(1).select(numeric.plus_one("s").alias("n")).collect()
+    assert [r.n for r in got] == [s and str(int(s) + 1) for s in texts]
+
+
+def test_lists_and_lines(spark):
+    a = spark.createDataFrame([("x", 3), ("x", 1), ("y", 2), (None, 0)], "k string, p int")
+    b = spark.createDataFrame([("x",), ("x",), (None,)], "k string")
+    assert [tuple(r) for r in relational.intersection(a, b, "k", "p").collect()] == [("x", 1)]
+    lines = spark.createDataFrame([("l", 2, 1), ("l", 1, 9), ("", 1, 2), (None, 1, 3)], "line string, d int, n int")
+    assert {tuple(r) for r in relational.first_lines(lines, "line", "d", "n").collect()} == {("l", 1, 9), ("", 1, 2), (None, 1, 3)}
+    assert sorted(map(tuple, relational.shuffled(lines.dropna(), 5, "d", "n").collect())) == sorted(map(tuple, lines.dropna().collect()))
+    v = spark.createDataFrame([(1, 1), (1, 4), (1, 6), (2, 9)], "g int, v int")
+    assert {tuple(r) for r in relational.next_value(v, ["g"], "v", F.col("v") % 2 == 0).collect()} == {(1, 1, 4), (1, 4, 4), (1, 6, 6), (2, 9, None)}
+
+
+def test_training_by_batches(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x, y = r.normal(size=(23, 3)), r.integers(0, 2, 23)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(23)], "i long, x array<double>, y int")
+    w, bias, losses = ml.train_batches(df, "i", "x", "y", 2, 3, 0.1, 2, size=10, momentum=0.9)
+    want, speed, ones = np.zeros((2, 4)), np.zeros((2, 4)), np.column_stack([x, np.ones(23)])
+    for _ in range(2):
+        for at in range(0, 23, 10):
+            xs, ys = ones[at : at + 10], y[at : at + 10]
+            p = np.exp(xs @ want.T)
+            p = p / p.sum(1, keepdims=True) - np.eye(2)[ys]
+            speed = 0.9 * speed + p.T @ xs / len(xs)
+            want = want - 0.1 * speed
+    assert np.allclose(np.column_stack([w, bias]), want) and losses[1] < losses[0]
+
+
+def test_a_stream_of_two_batches(spark, tmp_path):
+    for i, rows in enumerate([[(1, "a", 1), (1, "b", 2), (2, "a", 3)], [(1, "a", 4), (1, "c", 5)]]):
+        spark.createDataFrame(rows, "u long, v string, event_id int").withColumn("at", F.timestamp_seconds("event_id")).coalesce(1).write.parquet(f"{tmp_path}/in/p={i}")
+    files = spark.readStream.schema("u long, v string, event_id int, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    kept = streaming.drain(streaming.lru(files, "u", "v", 2), "update", ("u",))
+    assert {(r.u, *r.kept) for r in kept.collect()} == {(1, "c", "a"), (2, "a")}
+    assert {tuple(r) for r in streaming.drain(files.groupBy("v").count(), "complete").collect()} == {("a", 3), ("b", 1), ("c", 1)}
