@@ -7,8 +7,10 @@ piece holds costs the least score less 10 and is written as its bytes' pieces. N
 segmented with the word after it.
 
 encode(): words are segmented once and kept; a giant text is cut into chunks anywhere, each gives the max-plus matrix of
-best scores from each overhang of a piece at its start to each at its end, matrices are combined in order into the scores
-at every boundary, and each chunk is traced back on its own, for every exit, before the exits are linked up.
+best scores from each overhang of a piece at its start to each at its end, and matrices are combined by a tree of max-plus products
+(scan()) into the scores at every boundary: products of FAN neighbours, of FAN such products and so on, then scores carried down
+again, so that no task holds more than FAN matrices of a text at once. Each chunk is traced back on its own, for every exit; which
+exit leads to which entry is a map, and maps are composed by the same tree.
 
 token_counts(): distinct words of a batch are walked in order, that is, along the trie that they form; the forward state
 (best score, tokens so far, open pieces) of a shared prefix is computed once, the count at a word's end is kept.
@@ -22,18 +24,21 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, texts, trim, with_ids
+from .common import stage, texts, trim, unstage, with_ids
 
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 LITERAL = "\ud800"  # stands for a "▁" of the text itself, which no text of Spark's can hold
 NONE = float("-inf")
+FAN = 16  # neighbours that are combined at once
+REACH = 64  # characters that a piece may reach past its chunk
 UNIT, CUT = re.compile(f"{SPACE}+[^{SPACE}]*"), re.compile(f"[^{SPACE}](?={SPACE})")
 
 
@@ -217,54 +222,38 @@ def encode(docs: DataFrame, path: str, giant: int = 65_536, chunk: int = 16_384)
 
 
 def encode_giants(docs: DataFrame, path: str, chunk: int = 16_384) -> DataFrame:
-    """encode() for texts of many chunks; a text is at most one cell, so a document's boundaries fit one task."""
-    reach = 64  # characters that a piece may reach past its chunk, more than any piece has
+    """encode() for texts of many chunks; a text is at most one cell, so a document's ids fit one task. A vocabulary with pieces longer
+    than REACH is an error."""
+    spark = docs.sparkSession
     docs, _ = stage(docs.withColumn("key", F.monotonically_increasing_id()), "giants")
-    whole = docs.select("key", F.concat(F.lit(" "), "text").alias("t")).withColumn("size", F.length("t"))
-    chunks = whole.select("key", "t", "size", F.explode(F.sequence(F.lit(0), F.expr(f"(size - 1) div {chunk}"))).alias("c"))
-    chunks = chunks.select("key", "c", F.expr(f"substring(t, c * {chunk} + 1, {chunk + reach})").alias("t"), F.expr(f"int(least({chunk}, size - c * {chunk}))").alias("n"), F.expr(f"c = (size - 1) div {chunk}").alias("ends"))
+    whole = docs.select("key", F.concat(F.lit(" "), "text").alias("t")).withColumn("size", F.length("t")).withColumn("last", F.expr(f"int((size - 1) div {chunk})"))
+    chunks = whole.select("key", "t", "size", "last", F.explode(F.sequence(F.lit(0), "last")).alias("c"))
+    chunks = chunks.select("key", "c", F.expr(f"substring(t, c * {chunk} + 1, {chunk + REACH})").alias("t"), F.expr(f"int(least({chunk}, size - c * {chunk}))").alias("n"), (F.col("last") - F.col("c")).alias("after"))
     chunks, _ = stage(chunks.repartition("key", "c"), "chunks")
+    most = (chunks.agg(F.max("c")).first()[0] or 0) + 1
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(path)
+        if lattice.longest > REACH:
+            raise ValueError(f"a piece of {lattice.longest} characters; chunks reach {REACH} past their end")
         for b in batches:
             yield b[["key", "c"]].assign(m=[lattice.matrix(marked(t), n).tobytes() for t, n in zip(b["t"], b["n"])])
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("c")
-        out, state = [], None
-        for m in group["m"]:
-            m = np.frombuffer(m).reshape(math.isqrt(len(m) // 8), -1)
-            if state is None:
-                state = np.full(len(m), NONE)
-                state[0] = 0.0
-            out.append(state.tobytes())
-            state = (state[:, None] + m).max(0)
-        return group[["key", "c"]].assign(entry=out)
-
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(path)
         for b in batches:
             out = []
-            for t, n, entry in zip(b["t"], b["n"], b["entry"]):
+            for t, n, entry in zip(b["t"], b["n"], b["state"]):
                 best, back = lattice.trace(marked(t), n, np.frombuffer(entry))
-                out.append([_entry(back, n + j) if best[n + j] > NONE else -1 for j in range(lattice.longest)])
-            yield b[["key", "c"]].assign(came=out)
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("c", ascending=False)
-        out, leaves = [], 0  # the text ends at the last chunk's end
-        for came in group["came"]:
-            out.append(leaves)
-            leaves = int(came[leaves])
-        return group[["key", "c"]].assign(leaves=out)
+                out.append(np.array([_entry(back, n + j) if best[n + j] > NONE else -1 for j in range(lattice.longest)], np.int32).tobytes())
+            yield pd.DataFrame({"key": b["key"], "c": b["after"], "m": out})
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(path)
         for b in batches:
             out = []
-            for t, n, entry, leaves in zip(b["t"], b["n"], b["entry"], b["leaves"]):
-                t = marked(t)
+            for t, n, entry, leaves in zip(b["t"], b["n"], b["state"], b["leaves"]):
+                t, leaves = marked(t), int(np.frombuffer(leaves, np.int32)[0])
                 _, back = lattice.trace(t, n, np.frombuffer(entry))
                 i, ids = n + leaves, []
                 while back[i] >= 0:
@@ -276,13 +265,78 @@ def encode_giants(docs: DataFrame, path: str, chunk: int = 16_384) -> DataFrame:
     def join(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"key": [group["key"].iloc[0]], "ids": [np.concatenate(list(group.sort_values("c")["ids"]))]})
 
-    entries, _ = stage(chunks.mapInPandas(matrices, "key long, c int, m binary").groupBy("key").applyInPandas(scan, "key long, c int, entry binary"), "entries")
+    products, at_products = stage(chunks.mapInPandas(matrices, "key long, c int, m binary"), "matrices")
+    entries, _ = stage(scan(products, most, scores_product, scores_after, scores_start), "entries")
     traced = chunks.join(entries, ["key", "c"])
-    linked = traced.mapInPandas(exits, "key long, c int, came array<int>").groupBy("key").applyInPandas(link, "key long, c int, leaves int")
-    spelt = traced.join(linked, ["key", "c"]).mapInPandas(spell, "key long, c int, ids array<int>")
+    maps, at_maps = stage(traced.mapInPandas(exits, "key long, c int, m binary"), "exits")
+    leaves, _ = stage(scan(maps, most, map_product, map_after, map_start).select("key", F.col("c").alias("after"), F.col("state").alias("leaves")), "leaves")
+    unstage(spark, at_products, at_maps)
+    spelt = traced.join(leaves, ["key", "after"]).mapInPandas(spell, "key long, c int, ids array<int>")
     return docs.join(spelt.groupBy("key").applyInPandas(join, "key long, ids array<int>"), "key").select("doc_id", "text", "ids")
 
 
+def scan(rows: DataFrame, most: int, product: Callable, after: Callable, start: Callable) -> DataFrame:
+    """key, c (0, 1, ... below `most`) and m -> key, c and state, what the m of all smaller c make of the start in order of c. product(m, m)
+    is associative and after(after(state, a), b) is after(state, product(a, b)); start(m) is the state before the first."""
+    above = F.expr(f"int(c div {FAN})")
+
+    def multiply(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("c")
+        return pd.DataFrame({"key": [group["key"].iloc[0]], "c": [group["above"].iloc[0]], "m": [reduce(product, group["m"])]})
+
+    def carry(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("c")
+        out, state = [], group["state"].iloc[0] if "state" in group else start(group["m"].iloc[0])
+        for m in group["m"]:
+            out.append(state)
+            state = after(state, m)
+        return group[["key", "c"]].assign(state=out)
+
+    levels = [rows]
+    while most > FAN:
+        levels.append(levels[-1].withColumn("above", above).groupBy("key", "above").applyInPandas(multiply, "key long, c int, m binary"))
+        most = -(-most // FAN)
+    states = levels.pop().groupBy("key").applyInPandas(carry, "key long, c int, state binary")
+    for level in reversed(levels):
+        held = level.withColumn("above", above).join(states.withColumnRenamed("c", "above"), ["key", "above"])
+        states = held.groupBy("key", "above").applyInPandas(carry, "key long, c int, state binary")
+    return states
+
+
+def _square(m: bytes) -> np.ndarray:
+    return np.frombuffer(m).reshape(math.isqrt(len(m) // 8), -1)
+
+
+def _level(x: np.ndarray) -> bytes:
+    """Scores less the best one: differences decide, and stay exact however long the text is."""
+    return (x - x.max() if x.max() > NONE else x).tobytes()
+
+
+def scores_product(a: bytes, b: bytes) -> bytes:
+    return _level((_square(a)[:, :, None] + _square(b)[None]).max(1))
+
+
+def scores_after(state: bytes, m: bytes) -> bytes:
+    return _level((np.frombuffer(state)[:, None] + _square(m)).max(0))
+
+
+def scores_start(m: bytes) -> bytes:
+    return np.where(np.arange(len(_square(m))) == 0, 0.0, NONE).tobytes()  # a text starts at its first place
+
+
+def map_product(a: bytes, b: bytes) -> bytes:
+    first, then = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
+    return np.where(first >= 0, then[first], -1).astype(np.int32).tobytes()
+
+
+def map_after(state: bytes, m: bytes) -> bytes:
+    return np.frombuffer(m, np.int32)[np.frombuffer(state, np.int32)].tobytes()
+
+
+def map_start(m: bytes) -> bytes:
+    return np.zeros(1, np.int32).tobytes()  # a text ends at its last chunk's end
+
+
 def marked(text: str) -> str:
     return text.replace(SPACE, LITERAL).replace(" ", SPACE)
 

@@ -111,6 +111,33 @@ def test_giants_are_encoded_like_others(spark):
     assert pieces.digest(pieces.encode(docs(spark, []), MODEL), MODEL).count() == 0
 
 
+@pytest.mark.parametrize("fan", [2, 16])
+def test_chunks_are_combined_by_a_tree(spark, monkeypatch, fan):
+    """Products of products give what carrying the scores from chunk to chunk gives, on a text of 1,000 chunks and one of a few."""
+    monkeypatch.setattr(pieces, "FAN", fan)
+    r = np.random.default_rng(fan)
+    held = []
+    for key, n in ((1, 1000 if fan == 16 else 37), (2, 3), (3, 1)):
+        held += [(key, c, np.where(r.random((5, 5)) < 0.3, pieces.NONE, -r.integers(0, 2**30, (5, 5)).astype(float)), r.integers(0, 5, 5).astype(np.int32)) for c in range(n)]
+    most = 1 + max(c for _, c, _, _ in held)
+    scores = spark.createDataFrame([(k, c, bytearray(m.tobytes())) for k, c, m, _ in held], "key long, c int, m binary")
+    maps = spark.createDataFrame([(k, c, bytearray(m.tobytes())) for k, c, _, m in held], "key long, c int, m binary")
+    got = {(x.key, x.c): np.frombuffer(x.state) for x in pieces.scan(scores, most, pieces.scores_product, pieces.scores_after, pieces.scores_start).collect()}
+    places = {(x.key, x.c): np.frombuffer(x.state, np.int32)[0] for x in pieces.scan(maps, most, pieces.map_product, pieces.map_after, pieces.map_start).collect()}
+    assert len(got) == len(places) == len(held)
+    for key, c, m, f in held:
+        if not c:
+            state, place = np.array([0.0] + [pieces.NONE] * 4), 0
+        assert np.array_equal(got[key, c], state - state.max()) and places[key, c] == place
+        state, place = (state[:, None] + m).max(0), f[place]
+
+
+def test_pieces_longer_than_a_chunk_s_reach(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "REACH", 2)
+    with pytest.raises(Exception, match="reach 2 past"):
+        pieces.encode(docs(spark, ["word " * 50]), MODEL, giant=100, chunk=97).count()
+
+
 # --- near-duplicates ---
 
 
