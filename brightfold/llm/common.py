@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,16 @@ def trim() -> None:
         return
 
 
+def freed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function of batches, with trim() once all that it held is let go."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) words: runs of anything but space and the five ASCII controls 9 to 13."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, texts, trim, unstage, with_ids
+from .common import freed, stage, texts, unstage, with_ids
 
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 LITERAL = "\ud800"  # stands for a "▁" of the text itself, which no text of Spark's can hold
@@ -43,7 +43,7 @@ UNIT, CUT = re.compile(f"{SPACE}+[^{SPACE}]*"), re.compile(f"[^{SPACE}](?={SPACE
 
 
 class Lattice:
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 100_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -205,6 +205,7 @@ def encode(docs: DataFrame, path: str, giant: int = 65_536, chunk: int = 16_384)
     small = rows.where(F.col("text").isNull() | (F.length("text") <= giant))
     large = rows.where(F.length("text") > giant)
 
+    @freed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(path)
         for b in batches:
@@ -215,8 +216,6 @@ def encode(docs: DataFrame, path: str, giant: int = 65_536, chunk: int = 16_384)
                 get = lattice.words.__getitem__
                 yield part.assign(ids=[np.frombuffer(b"".join(map(get, ws)), "<u4").astype(np.int32) for ws in texts])
 
-        trim()
-
     done = small.mapInPandas(run, "doc_id string, text string, ids array<int>")
     return with_ids(done.unionByName(encode_giants(large, path, chunk)))
 
@@ -232,6 +231,7 @@ def encode_giants(docs: DataFrame, path: str, chunk: int = 16_384) -> DataFrame:
     chunks, _ = stage(chunks.repartition("key", "c"), "chunks")
     most = (chunks.agg(F.max("c")).first()[0] or 0) + 1
 
+    @freed
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(path)
         if lattice.longest > REACH:
@@ -239,6 +239,7 @@ def encode_giants(docs: DataFrame, path: str, chunk: int = 16_384) -> DataFrame:
         for b in batches:
             yield b[["key", "c"]].assign(m=[lattice.matrix(marked(t), n).tobytes() for t, n in zip(b["t"], b["n"])])
 
+    @freed
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(path)
         for b in batches:
@@ -248,6 +249,7 @@ def encode_giants(docs: DataFrame, path: str, chunk: int = 16_384) -> DataFrame:
                 out.append(np.array([_entry(back, n + j) if best[n + j] > NONE else -1 for j in range(lattice.longest)], np.int32).tobytes())
             yield pd.DataFrame({"key": b["key"], "c": b["after"], "m": out})
 
+    @freed
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(path)
         for b in batches:
@@ -350,6 +352,7 @@ def _entry(back: list[int], i: int) -> int:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Every row of encode()'s form with `decoded`, the text of its ids."""
 
+    @freed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(path)
         for b in batches:
@@ -357,14 +360,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 part = b.iloc[a : a + 500]
                 yield part.assign(decoded=[lattice.decode(ids) for ids in part["ids"]])
 
-        trim()
-
     return with_ids(encoded.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, text string, ids array<int>, decoded string"))
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words (pre-tokens) and n_tokens of every row."""
 
+    @freed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(path)
         for b in batches:
@@ -375,21 +377,17 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                 get = lattice.counts.__getitem__
                 yield pd.DataFrame({"doc_id": part["doc_id"], "n_words": [t.count(" ") + 1 if t else 0 for t in part["text"]], "n_tokens": [sum(map(get, ws)) for ws in texts]})
 
-        trim()
-
     return with_ids(texts(docs).mapInPandas(run, "doc_id string, n_words long, n_tokens long"))
 
 
 def digest(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian 32-bit ids) and round_trip (the decoded ids are the text) of encode()'s rows."""
 
+    @freed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(path)
         for b in batches:
-            ids = [np.asarray(x, "<u4") for x in b["ids"]]
-            same = [(t or "") == lattice.decode(x.tolist()) for t, x in zip(b["text"], ids)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_ids": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids], "round_trip": same})
-
-        trim()
+            out = [(len(x), zlib.crc32(np.asarray(x, "<u4").tobytes()), (t or "") == lattice.decode(x.tolist())) for t, x in zip(b["text"], b["ids"])]
+            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_ids", "ids_crc32", "round_trip"])], axis=1)
 
     return with_ids(encoded.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, n_ids long, ids_crc32 long, round_trip boolean"))
