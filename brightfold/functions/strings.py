@@ -173,6 +173,14 @@ def justify(words: list[str], width: int) -> list[str]:
     return lines + ([" ".join(now).ljust(width)] if now else [])
 
 
+def palindrome_ways(s: str) -> int:
+    """How many partitions into palindromes there are, counted without listing them."""
+    ways = [1]
+    for j in range(1, len(s) + 1):
+        ways.append(sum(ways[i] for i in range(j) if s[i:j] == s[i:j][::-1]))
+    return ways[-1]
+
+
 def palindrome_partitions(s: str) -> list[list[str]]:
     if not s:
         return [[]]

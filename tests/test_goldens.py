@@ -25,6 +25,7 @@ def test_strings():
     assert strings.distinct_subsequences("rabbbit", "rabbit") == 3 and strings.distinct_subsequences("x", "") == 0
     assert strings.justify("a bb ccc d".split(), 6) == ["a   bb", "ccc  d"] or strings.justify("a bb ccc d".split(), 6) == ["a   bb", "ccc d "]
     assert sorted(map(tuple, strings.palindrome_partitions("aab"))) == [("a", "a", "b"), ("aa", "b")] and strings.palindrome_cuts("aab") == 1
+    assert all(strings.palindrome_ways(x) == len(strings.palindrome_partitions(x)) for x in ("", "a", "aab", "abcba", "aaaaaaa", "noonabbad"))
     assert strings.expand_bits("0?1") == ["001", "011"]
     assert strings.word_in_grid(["abc", "def"], "abed") and not strings.word_in_grid(["ab"], "aba")
     assert strings.ordered_window("xaybzab", "ab") == 2 and strings.word_breaks("redring", {"red", "ring"})
