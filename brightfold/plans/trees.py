@@ -104,7 +104,14 @@ def path_sum_exists(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TREE}, {UP}, {LEAF} SELECT sum((a.v % 10) * (10 ^ (l.depth - a.d))::BIGINT)::BIGINT AS total FROM l JOIN a ON a.id = l.id")
 def sum_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return path_sums(spark, d).agg(F.sum(F.expr("aggregate(way, 0L, (n, x) -> n * 10 + x % 10)")).alias("total"))
+    """Exact at any depth: a digit counts by how many leaves stand how far below it, and those few sums are added up as Python's whole numbers. A
+    total that no bigint holds, for which the SQL fails, is a decimal(38,0)."""
+    t = tree(spark, d)
+    below = op.leaves(t).select(F.explode(F.expr("transform(sequence(0, depth), i -> struct(shiftright(id, i) AS id, i AS i))")).alias("x")).groupBy("x.id", "x.i").count()
+    sums = below.join(t.select("id", "val"), "id").groupBy("i").agg(F.sum(F.col("count") * (F.col("val") % 10)).alias("s")).where("s IS NOT NULL").collect()
+    total = sum(r.s * 10**r.i for r in sums) if sums else None
+    fits = total is None or -(2**63) <= total < 2**63
+    return spark.range(1).select(F.lit(None if total is None else str(total)).cast("bigint" if fits else "decimal(38,0)").alias("total"))
 
 
 @query(f"WITH {TREE}, {UP} SELECT anc AS id, sum(x.val)::BIGINT AS total FROM a JOIN t x ON x.id = a.id GROUP BY anc")

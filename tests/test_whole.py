@@ -176,3 +176,13 @@ def test_a_word_past_the_sixth_name(spark, tmp_path):
     names = ["aaaa"] * 6 + ["ring"]
     spark.createDataFrame([(50 * i, x) for i, x in enumerate(names)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     assert run(spark, "word_in_grid", str(tmp_path)) == [(0, True)]
+
+
+def test_numbers_past_a_bigint(spark, tmp_path):
+    n = 70000
+    spark.range(1, n).selectExpr("id AS p_partkey", "int((id * 37) % 50 + 1) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    number = {}
+    for k in range(1, n):
+        number[k] = number.get(k >> 1, 0) * 10 + ((k * 37) % 50 + 1) % 10
+    total = sum(number[k] for k in range((n + 1) // 2, n))
+    assert total >= 2**63 and run(spark, "sum_numbers", str(tmp_path)) == [(total,)]
