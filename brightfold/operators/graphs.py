@@ -3,6 +3,7 @@ checkpoint(), in the folder that the session names in spark.checkpoint.dir."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,18 +16,54 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Edges that components() links on the driver at once.
+FEW = 1 << 17
+
+
+def least_of(pairs: list[tuple]) -> dict:
+    """Each node of the pairs with the least node it is linked to."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in list(up)}
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node): the nodes of a label take the least label beside any of them, then their label's."""
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("label")))
-    while True:
-        beside = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("beside"))
-        hooked = labels.join(beside, "node").groupBy("label").agg(F.min(F.least("label", "beside")).alias("new"))
-        far = hooked.select(F.col("label").alias("new"), F.col("new").alias("far"))
-        done = cut(labels.join(hooked.join(far, "new", "left").select("label", F.coalesce("far", "new").alias("next")), "label").select("node", "label", "next"))
-        if not done.where("label <> next").take(1):
-            return done.select("node", F.col("next").alias("component"))
-        labels = done.select("node", F.col("next").alias("label"))
+    """node, component (its least node). In a round every label takes the least label beside it, then what that leads to, by doubled steps; the
+    labels left are the nodes of the next round's graph, at most half of them, so a long chain takes few rounds too. A graph of at most FEW
+    edges is linked on the driver."""
+    spark = edges.sparkSession
+    links = cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    labels = cut(links.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct())
+    links = links.where("src <> dst")
+
+    def followed(to: DataFrame, by: DataFrame) -> DataFrame:
+        """Each `to` replaced by what `by` (src, next) leads to."""
+        return to.join(by.select(F.col("src").alias("_s"), F.col("next").alias("_n")), F.col("to") == F.col("_s"), "left").withColumn("to", F.coalesce("_n", "to")).drop("_s", "_n")
+
+    while links.take(1):
+        if len(few := links.where("src < dst").limit(FEW + 1).collect()) <= FEW:
+            found = least_of([(r.src, r.dst) for r in few])
+            step, links = spark.createDataFrame(list(found.items()), f"src {links.dtypes[0][1]}, next {links.dtypes[0][1]}"), links.limit(0)
+        else:
+            step = cut(links.groupBy("src").agg(F.min("dst").alias("dst")).select("src", F.least("src", "dst").alias("next")))
+            while True:
+                far = cut(followed(step.withColumn("to", F.col("next")), step))
+                step = far.select("src", F.col("to").alias("next"))
+                if not far.where("to <> next").take(1):
+                    break
+            ends = followed(followed(links.select(F.col("src").alias("to"), "dst"), step).select(F.col("to").alias("src"), F.col("dst").alias("to")), step)
+            links = cut(ends.select("src", F.col("to").alias("dst")).where("src <> dst").distinct())
+        labels = cut(followed(labels.withColumnRenamed("label", "to"), step).select("node", F.col("to").alias("label")))
+    return labels.select("node", F.col("label").alias("component"))
 
 
 def distances(edges: DataFrame, start: DataFrame, weighted: bool = False) -> DataFrame:
@@ -66,11 +103,30 @@ def one_letter_edges(words: DataFrame) -> DataFrame:
     return a.join(b, "mask").where("src <> dst").select("src", "dst").distinct()
 
 
-def grid_edges(cells: DataFrame) -> DataFrame:
-    """Neighbours in four directions among cells (id, r, c, v) of equal value."""
-    step = F.explode(F.expr("array(struct(r + 1 AS r, c AS c), struct(r AS r, c + 1 AS c))"))
-    to = cells.select(F.col("id").alias("src"), "v", step.alias("n")).select("src", "v", "n.*")
-    return to.join(cells.select(F.col("id").alias("dst"), "v", "r", "c"), ["r", "c", "v"]).select("src", "dst")
+def grid_components(cells: DataFrame, rows: int = 2048) -> DataFrame:
+    """cells (id, r, c, v) with `isle`: the least id that steps in four directions among cells of equal value reach. Strips of so many rows are
+    linked by themselves; components() links only what meets where two strips do."""
+
+    def strip(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("id", ignore_index=True)
+        keys = list(zip(x["r"].tolist(), x["c"].tolist(), x["v"].tolist()))
+        first: dict = {}
+        for i, k in enumerate(keys):
+            first.setdefault(k, i)
+        pairs = [(i, j) for (r, c, v), i in first.items() for j in (first.get((r + 1, c, v)), first.get((r, c + 1, v))) if j is not None]
+        least = least_of(pairs)
+        ids = x["id"].to_numpy()
+        at = [first.get(k, i) if k[2] == k[2] else i for i, k in enumerate(keys)]
+        return pd.DataFrame({"id": ids, "isle": ids[[least.get(i, i) for i in at]], "r": x["r"], "c": x["c"], "v": x["v"]})
+
+    types = dict(cells.dtypes)
+    known = cells.where("id IS NOT NULL AND v IS NOT NULL").withColumn("strip", F.floor(F.col("r") / rows))
+    found = cut(known.groupBy("strip").applyInPandas(strip, f"id {types['id']}, isle {types['id']}, r {types['r']}, c {types['c']}, v {types['v']}"))
+    above = found.where(F.pmod("r", F.lit(rows)) == rows - 1).select((F.col("r") + 1).alias("r"), "c", "v", F.col("isle").alias("src"))
+    below = found.where(F.pmod("r", F.lit(rows)) == 0).select("r", "c", "v", F.col("isle").alias("dst"))
+    joined = components(above.join(below, ["r", "c", "v"]).select("src", "dst"))
+    whole = found.join(joined.withColumnRenamed("node", "isle"), "isle", "left").select("id", "r", "c", "v", F.coalesce("component", "isle").alias("isle"))
+    return cut(whole.unionByName(cells.where("id IS NULL OR v IS NULL").withColumn("isle", F.col("id"))))
 
 
 def euler_circuit(edges: list[tuple[int, int]]) -> list[int]:

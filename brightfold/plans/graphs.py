@@ -106,8 +106,7 @@ ISLES = f"WITH RECURSIVE {CELLS}, k(id, m) AS (SELECT id, id FROM c UNION SELECT
 def isles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     c = table(spark, d, "part").select(k.alias("id"), F.floor(k / 20).alias("r"), (k % 20).alias("c"), (F.col("p_size") % 3 > 0).cast("int").alias("v"))
-    lab = op.components(op.grid_edges(c)).withColumnRenamed("node", "id")
-    return c.join(lab, "id", "left").select("id", "r", "c", "v", F.coalesce("component", "id").alias("isle"))
+    return op.grid_components(c)
 
 
 @query(f"{ISLES} SELECT v, count(DISTINCT isle) AS n FROM i GROUP BY v")

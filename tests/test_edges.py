@@ -84,3 +84,27 @@ def test_a_stream_of_two_batches(spark, tmp_path):
     kept = streaming.drain(streaming.lru(files, "u", "v", 2), "update", ("u",))
     assert {(r.u, *r.kept) for r in kept.collect()} == {(1, "c", "a"), (2, "a")}
     assert {tuple(r) for r in streaming.drain(files.groupBy("v").count(), "complete").collect()} == {("a", 3), ("b", 1), ("c", 1)}
+
+
+def test_components_of_a_long_chain(spark, monkeypatch):
+    want = [(i, 0 if i < 3000 else 5000) for i in (*range(3000), 5000, 5001)]
+    edges = spark.createDataFrame([(i, i + 1) for i in range(2999)] + [(5001, 5000)], "src long, dst long")
+    for few in (graphs.FEW, 0):
+        monkeypatch.setattr(graphs, "FEW", few)
+        assert sorted(map(tuple, graphs.components(edges).collect())) == want
+
+
+def test_isles_across_strips(spark):
+    cells = [(10 * r + c, r, c, int(c == 0 or (r + c) % 5 == 0)) for r in range(30) for c in range(4)]
+    at = {(r, c): (i, v) for i, r, c, v in cells}
+    want = {}
+    for i, r, c, v in cells:
+        if i not in want:
+            todo = [(r, c)]
+            while todo:
+                r, c = todo.pop()
+                if (r, c) in at and at[r, c][1] == v and at[r, c][0] not in want:
+                    want[at[r, c][0]] = i
+                    todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+    got = graphs.grid_components(spark.createDataFrame(cells, "id long, r long, c long, v int"), rows=4)
+    assert {x["id"]: x["isle"] for x in got.collect()} == want
