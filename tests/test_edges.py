@@ -108,3 +108,35 @@ def test_isles_across_strips(spark):
                     todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
     got = graphs.grid_components(spark.createDataFrame(cells, "id long, r long, c long, v int"), rows=4)
     assert {x["id"]: x["isle"] for x in got.collect()} == want
+
+
+def test_reaching_is_as_by_trying_all(spark):
+    from fractions import Fraction
+    from itertools import product
+
+    from brightfold.operators import puzzles
+
+    def tried(values, target):
+        if len(values) == 1:
+            return values[0] == target
+        for i, j in product(range(len(values)), repeat=2):
+            if i != j:
+                a, b, rest = values[i], values[j], [v for k, v in enumerate(values) if k not in (i, j)]
+                if any(tried([*rest, x], target) for x in (a + b, a - b, a * b, *([a / b] if b else []))):
+                    return True
+        return False
+
+    lists = [[a, b, c] for a, b, c in product(range(-1, 5), repeat=3)] + [[0], [3, 8], [3, 3, 8, 8], [1, 5, 5, 5], [7, 7, 7, 7]]
+    for target in (24, 0, -3, 5):
+        assert all(puzzles.reaches(v, target) == tried([Fraction(x) for x in v], target) for v in lists)
+
+
+def test_many_hands_of_four():
+    import time
+    from itertools import combinations_with_replacement
+
+    from brightfold.operators import puzzles
+
+    start = time.process_time()
+    assert sum(puzzles.reaches(list(v), 24) for v in combinations_with_replacement(range(1, 14), 4)) == 1362  # of 1820
+    assert time.process_time() - start < 20
