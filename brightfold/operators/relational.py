@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import cut
+
 
 def purchase_rank(friends: DataFrame, purchases: DataFrame, user) -> DataFrame:
     """Products of a user's friends by number of purchases, without those that the user has: friends(user, friend), purchases(user, product)."""
@@ -111,7 +113,8 @@ def intersection(a: DataFrame, b: DataFrame, key: str, place: str) -> DataFrame:
 
 def next_value(df: DataFrame, by: list[str], value: str, holds: Column) -> DataFrame:
     """df with `following`: the least value from the row's own on, in its group, for which the condition holds; null if there is none."""
-    ahead = Window.partitionBy(*by).orderBy(value).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # backwards: a frame from the first row on is added to row by row, one to the last row is read again for each
+    ahead = Window.partitionBy(*by).orderBy(F.desc(value)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("following", F.min(F.when(holds, F.col(value))).over(ahead))
 
 
@@ -123,3 +126,16 @@ def first_lines(lines: DataFrame, line: str, *place: str) -> DataFrame:
 def shuffled(df: DataFrame, seed: int, *keys: str) -> DataFrame:
     """df in an order told by a seeded hash of the keys: a sort by ranges, so that no task holds the whole."""
     return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+
+
+def at_or_above(probes: DataFrame, probe: str, held: DataFrame, value: str, name: str) -> DataFrame:
+    """probes with `name`: the least held value at or above the probe's; null if there is none. Both sides are sorted together by ranges, in
+    which the value is carried backwards; a range without one takes the least of the next that has one."""
+    both = probes.withColumn("_x", F.col(probe)).withColumn("_k", F.lit(0)).unionByName(held.where(F.col(value).isNotNull()).select(F.col(value).alias("_x"), F.lit(1).alias("_k")), allowMissingColumns=True)
+    both = cut(both.where("_x IS NOT NULL").repartitionByRange("_x").withColumn("_p", F.spark_partition_id()))
+    back = Window.partitionBy("_p").orderBy(F.desc("_x"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    least = F.min("_least").over(Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    after = both.groupBy("_p").agg(F.min(F.when(F.col("_k") == 1, F.col("_x"))).alias("_least")).select("_p", least.alias("_after"))
+    here = F.last(F.when(F.col("_k") == 1, F.col("_x")), ignorenulls=True).over(back)
+    found = both.withColumn("_here", here).where("_k = 0").join(F.broadcast(after), "_p").withColumn(name, F.coalesce("_here", "_after"))
+    return found.select(*probes.columns, name).unionByName(probes.where(F.col(probe).isNull()), allowMissingColumns=True)

@@ -9,13 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
+FIRST = Window.unboundedPreceding
 
 
 def ordered(keys: list[str], order: list) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def backwards(keys: list[str], order: list[str]) -> Window:
+    """From a key's last row to its first: a frame that reaches to the end is read again for each row, one from the start is added to."""
+    return Window.partitionBy(*keys).orderBy(*map(F.desc_nulls_last, order))
+
+
 def running_avg(value: Column, w: Window, n: int) -> Column:
     """The mean of the last n values, of fewer at the start."""
     if n < 1:
@@ -31,14 +36,15 @@ def gain_so_far(value: Column, w: Window) -> Column:
 def two_gains(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
     """The largest sum of at most two trades, one after the other, by key."""
     w, v = ordered(keys, order), F.col(value)
-    x = df.withColumn("_g", gain_so_far(v, w)).withColumn("_f", F.max(v).over(w.rowsBetween(0, LAST)) - v)
-    x = x.withColumn("_a", F.max("_g").over(w.rowsBetween(FIRST, 0))).withColumn("_b", F.max("_f").over(w.rowsBetween(0, LAST)))
+    back = backwards(keys, order)
+    x = df.withColumn("_g", gain_so_far(v, w)).withColumn("_f", F.max(v).over(back.rowsBetween(FIRST, 0)) - v)
+    x = x.withColumn("_a", F.max("_g").over(w.rowsBetween(FIRST, 0))).withColumn("_b", F.max("_f").over(back.rowsBetween(FIRST, 0)))
     return x.groupBy(*keys).agg(F.greatest(F.max(F.col("_a") + F.col("_b")), F.lit(0)).alias("profit"))
 
 
 def trapped(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
     w, v = ordered(keys, order), F.col(value)
-    left, right = F.max(v).over(w.rowsBetween(FIRST, -1)), F.max(v).over(w.rowsBetween(1, LAST))
+    left, right = F.max(v).over(w.rowsBetween(FIRST, -1)), F.max(v).over(backwards(keys, order).rowsBetween(FIRST, -1))
     return df.withColumn("_t", F.when(left.isNull() | right.isNull(), 0).otherwise(F.greatest(F.least(left, right) - v, F.lit(0)))).groupBy(*keys).agg(F.sum("_t").alias("water"))
 
 

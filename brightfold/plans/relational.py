@@ -205,10 +205,9 @@ def available_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_suppkey, (SELECT min(c_acctbal) FROM customer WHERE c_acctbal >= s_acctbal) AS at_least FROM supplier")
 def smallest_remaining(spark: SparkSession, d: str) -> DataFrame:
-    """As-of: the least value at or above each probe, by one sort of both sides together."""
-    both = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), F.lit(0).alias("k")).unionByName(table(spark, d, "customer").select(F.lit(None).cast("long").alias("s_suppkey"), F.col("c_acctbal").alias("x"), F.lit(1).alias("k")))
-    w = Window.orderBy("x", "k").rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn("at_least", F.first(F.when(F.col("k") == 1, F.col("x")), ignorenulls=True).over(w)).where("k = 0").select("s_suppkey", "at_least")
+    """As-of: the least value at or above each probe, by one sort of both sides together, in ranges."""
+    probes = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"))
+    return op.at_or_above(probes, "x", table(spark, d, "customer").select(F.col("c_acctbal").alias("y")), "y", "at_least").select("s_suppkey", "at_least")
 
 
 # --- selection ---

@@ -140,3 +140,19 @@ def test_many_hands_of_four():
     start = time.process_time()
     assert sum(puzzles.reaches(list(v), 24) for v in combinations_with_replacement(range(1, 14), 4)) == 1362  # of 1820
     assert time.process_time() - start < 20
+
+
+def test_at_or_above(spark):
+    import random
+    import time
+
+    r = random.Random(1)
+    held = [r.randrange(10**6) / 4 for _ in range(40000)]
+    probes = [(i, r.randrange(-1000, 10**6 + 9000) / 4) for i in range(40000)] + [(-1, None)]
+    start = time.time()
+    got = relational.at_or_above(spark.createDataFrame(probes, "i long, x double"), "x", spark.createDataFrame([(y,) for y in [*held, None]], "y double"), "y", "z")
+    held.sort()
+    from bisect import bisect_left
+
+    want = {i: None if x is None or x > held[-1] else held[bisect_left(held, x)] for i, x in probes}
+    assert {a.i: a.z for a in got.collect()} == want and time.time() - start < 60
