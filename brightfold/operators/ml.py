@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graphs import cut
+
 
 def log_softmax(x: str) -> Column:
     """x - log(sum(exp(x))), shifted by the largest so that nothing overflows."""
@@ -70,20 +72,51 @@ def train_softmax(df: DataFrame, features: str, label: str, classes: int, dim: i
 
 
 def train_batches(df: DataFrame, key: str, features: str, label: str, classes: int, dim: int, rate: float, epochs: int, size: int = 64, momentum: float = 0.0) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Mini-batch descent in order, with momentum: a batch is a range of `size` keys, which the scan is filtered by (the last may be shorter, an
-    empty one makes no step). A step is one pass over its batch; a rows-weighted mean loss an epoch, taken as the weights were at each step."""
+    """Mini-batch descent in order, with momentum: a batch is a range of `size` keys (the last may be shorter, an empty one makes no step). Each step
+    needs the weights of the one before, so an epoch is one pass of one task over the rows in order, which holds an Arrow batch and a
+    mini-batch at a time. A rows-weighted mean loss an epoch, taken as the weights were at each step."""
     w, losses = np.zeros((classes, dim + 1)), []
     speed = np.zeros_like(w)
-    first, last = df.agg(F.min(key), F.max(key)).first()
+    first = df.agg(F.min(key)).first()[0]
+    if first is None:
+        return w[:, :-1], w[:, -1], [0.0] * epochs
+    rows = cut(df.where(F.col(key).isNotNull()).select(F.floor((F.col(key) - first) / size).alias("step"), features, label).repartition(1).sortWithinPartitions("step"))
+
+    def epoch(batches):
+        import pandas as pd
+
+        now, fast, total, seen, held = w, speed, 0.0, 0, None
+
+        def take(x, y):
+            nonlocal now, fast, total, seen
+            z = x @ now.T
+            z -= z.max(1, keepdims=True)
+            p = np.exp(z)
+            p /= p.sum(1, keepdims=True)
+            total -= np.log(p[np.arange(len(y)), y]).sum()
+            p[np.arange(len(y)), y] -= 1
+            fast = momentum * fast + p.T @ x / len(y)
+            now = now - rate * fast
+            seen += len(y)
+
+        for b in batches:
+            if len(b):
+                step, y = b["step"].to_numpy(), b[label].to_numpy()
+                x = np.column_stack([np.stack(b[features].to_numpy()).astype(float), np.ones(len(b))])
+                if held is not None:
+                    step, x, y = np.concatenate([held[0], step]), np.concatenate([held[1], x]), np.concatenate([held[2], y])
+                starts = [0, *np.flatnonzero(step[1:] != step[:-1]) + 1]
+                for i, j in zip(starts, starts[1:]):
+                    take(x[i:j], y[i:j])
+                held = step[starts[-1] :], x[starts[-1] :], y[starts[-1] :]
+        if held is not None:
+            take(*held[1:])
+            yield pd.DataFrame({"w": [now.reshape(-1)], "speed": [fast.reshape(-1)], "total": [total], "seen": [seen]})
+
     for _ in range(epochs):
-        total = seen = 0
-        for start in range(first, last + 1, size) if first is not None else ():
-            g, loss, n = gradient(df.where(F.col(key).between(start, start + size - 1)), features, label, w.copy())
-            if n:
-                speed = momentum * speed + g / n
-                w = w - rate * speed
-                total, seen = total + loss, seen + n
-        losses.append(total / max(1, seen))
+        r = rows.mapInPandas(epoch, "w array<double>, speed array<double>, total double, seen long").first()
+        w, speed = (np.array(x).reshape(w.shape) for x in (r.w, r.speed))
+        losses.append(r.total / max(1, r.seen))
     return w[:, :-1], w[:, -1], losses
 
 

@@ -156,3 +156,21 @@ def test_at_or_above(spark):
 
     want = {i: None if x is None or x > held[-1] else held[bisect_left(held, x)] for i, x in probes}
     assert {a.i: a.z for a in got.collect()} == want and time.time() - start < 60
+
+
+def test_many_batches(spark):
+    import time
+
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    x, y = r.normal(size=(20000, 2)), r.integers(0, 2, 20000)
+    df = spark.createDataFrame([(3 * i, x[i].tolist(), int(y[i])) for i in r.permutation(20000).tolist()], "i long, x array<double>, y int")
+    start = time.time()
+    w, bias, losses = ml.train_batches(df, "i", "x", "y", 2, 2, 0.1, 1, size=48)
+    took = time.time() - start
+    want, ones = np.zeros((2, 3)), np.column_stack([x, np.ones(20000)])
+    for at in range(0, 20000, 16):
+        p = np.exp(ones[at : at + 16] @ want.T)
+        want = want - 0.1 * (p / p.sum(1, keepdims=True) - np.eye(2)[y[at : at + 16]]).T @ ones[at : at + 16] / 16
+    assert np.allclose(np.column_stack([w, bias]), want) and took < 40
