@@ -124,12 +124,56 @@ def widest_container(heights) -> float:
     return best
 
 
+class Places:
+    """Counts by place 0 .. n - 1, with sums and the place of a rank in log n steps."""
+
+    def __init__(self, n: int, full: bool = False):
+        self.sums = [(i & -i) if full else 0 for i in range(n + 1)]
+        self.top = 1 << n.bit_length()
+
+    def add(self, i: int, by: int) -> None:
+        i += 1
+        while i < len(self.sums):
+            self.sums[i] += by
+            i += i & -i
+
+    def below(self, i: int) -> int:
+        total = 0
+        while i:
+            total += self.sums[i]
+            i &= i - 1
+        return total
+
+    def at(self, rank: int) -> int:
+        """The place of the counted one before which `rank` others are."""
+        i, step = 0, self.top
+        while step:
+            if i + step < len(self.sums) and self.sums[i + step] <= rank:
+                i += step
+                rank -= self.sums[i]
+            step >>= 1
+        return i
+
+
+def no_less_before(values: list) -> list[int]:
+    """For each value, how many of those before it are no less."""
+    place = {v: i for i, v in enumerate(sorted(set(values)))}
+    seen, out = Places(len(place)), []
+    for n, v in enumerate(values):
+        out.append(n - seen.below(place[v]))
+        seen.add(place[v], 1)
+    return out
+
+
 def seats(pairs: list[tuple[int, int]]) -> list[int]:
-    """Heights in a row from (height, how many taller-or-equal... stand before): the tallest first, each at its place among those there."""
-    out: list[tuple[int, int]] = []
-    for h, k in sorted(pairs, key=lambda p: (-p[0], p[1])):
-        out.insert(k, (h, k))
-    return [h for h, _ in out]
+    """Heights in a row from (height, how many taller-or-equal... stand before): the tallest first, each at its place among those there. Taken
+    from the last one on, a place among those there is one among the seats still free."""
+    free, out = Places(len(pairs), True), [None] * len(pairs)
+    for i, (h, k) in reversed(list(enumerate(sorted(pairs, key=lambda p: (-p[0], p[1]))))):
+        at = free.at(min(k, i))
+        free.add(at, -1)
+        out[at] = h
+    return out
 
 
 def least_after_swaps(values: list, swaps: int) -> list:

@@ -186,3 +186,17 @@ def test_numbers_past_a_bigint(spark, tmp_path):
         number[k] = number.get(k >> 1, 0) * 10 + ((k * 37) % 50 + 1) % 10
     total = sum(number[k] for k in range((n + 1) // 2, n))
     assert total >= 2**63 and run(spark, "sum_numbers", str(tmp_path)) == [(total,)]
+
+
+def test_long_queues(spark, tables):
+    import random
+    import time
+
+    r = random.Random(2)
+    people = [(i, i % 2 if i % 9 else None, None if i % 500 == 7 else r.randrange(500) / 4) for i in range(60000)]
+    r.shuffle(people)
+    d = tables(customer=("c_custkey long, c_nationkey int, c_acctbal double", people))
+    start = time.time()
+    got = {x["g"]: x["queue"] for x in plans.QUERIES["queue_reconstruction"](spark, d).collect()}
+    assert got == {g: [h for _, n, h in sorted(people, key=lambda p: p[0]) if n == g] for g in (0, 1, None)}
+    assert time.time() - start < 60
