@@ -76,16 +76,23 @@ def binary_fraction(x: Column) -> Column:
 
 
 def roman(n: str) -> Column:
-    """Roman numerals of 1 to 3999."""
+    """Roman numerals. From 4000 on the thousands stand in brackets before the rest, and theirs in more: (IV)I is 4001; so a numeral's length
+    grows with the number's digits."""
     steps = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
     table = ", ".join(f"named_struct('v', {v}, 's', '{s}')" for v, s in steps)
-    return F.expr(f"aggregate(array({table}), named_struct('n', int({n}), 's', ''), (a, t) -> named_struct('n', a.n % t.v, 's', concat(a.s, repeat(t.s, a.n div t.v))), a -> a.s)")
+    part = f"aggregate(array({table}), named_struct('n', int(_part), 's', ''), (a, t) -> named_struct('n', a.n % t.v, 's', concat(a.s, repeat(t.s, a.n div t.v))), a -> a.s)"
+    powers = f"array({', '.join(f'{1000**i}L' for i in range(7))})"
+    deep = f"size(filter({powers}, _p -> _n div _p >= 4000))"
+    parts = f"transform(sequence(_deep, 0, -1), _i -> if(_i = _deep, _n div {powers}[_i], _n div {powers}[_i] % 1000))"
+    # one-element arrays bind what is computed once a row, to names that no column has
+    return F.expr(f"if(({n}) IS NULL, null, transform(array(bigint({n})), _n -> transform(array({deep}), _deep -> concat(repeat('(', _deep), array_join(transform({parts}, _part -> {part}), ')')))[0])[0])")
 
 
 def roman_number(s: str) -> Column:
-    value = "element_at(map('I', 1, 'V', 5, 'X', 10, 'L', 50, 'C', 100, 'D', 500, 'M', 1000), {})"
-    x = f"transform(split({s}, ''), c -> {value.format('c')})"
-    return F.expr(f"aggregate(transform({x}, (v, i) -> if(v < coalesce(try_element_at({x}, i + 2), 0), -v, v)), 0, (a, v) -> a + v)")
+    """One pass: a sign larger than the one before it takes that back twice; a bracket that closes makes thousands of what stands before it."""
+    value = "element_at(map('(', 0L, 'I', 1L, 'V', 5L, 'X', 10L, 'L', 50L, 'C', 100L, 'D', 500L, 'M', 1000L), c)"
+    step = f"if(c = ')', named_struct('n', a.n * 1000, 'last', 0L), transform(array({value}), _v -> named_struct('n', a.n + _v - if(_v > a.last, 2 * a.last, 0L), 'last', _v))[0])"
+    return F.expr(f"aggregate(split({s}, ''), named_struct('n', 0L, 'last', 0L), (a, c) -> {step}, a -> a.n)")
 
 
 def first_single(s: str) -> Column:

@@ -174,3 +174,11 @@ def test_many_batches(spark):
         p = np.exp(ones[at : at + 16] @ want.T)
         want = want - 0.1 * (p / p.sum(1, keepdims=True) - np.eye(2)[y[at : at + 16]]).T @ ones[at : at + 16] / 16
     assert np.allclose(np.column_stack([w, bias]), want) and took < 40
+
+
+def test_numerals_of_any_size(spark):
+    texts = {1: "I", 3999: "MMMCMXCIX", 4000: "(IV)", 4001: "(IV)I", 1234567: "(MCCXXXIV)DLXVII", 4000000: "((IV))", 7200009: "((VII)CC)IX"}
+    n = [*texts, *range(1, 4100), 2**31 + 5, 999_999_999_999, 2**63 - 1]
+    got = spark.createDataFrame([(x,) for x in n], "n long").select("n", fn.roman("n").alias("r")).select("n", "r", fn.roman_number("r").alias("back"), F.length("r").alias("size")).collect()
+    assert all(r.back == r.n and r.size < 120 for r in got) and {r.n: r.r for r in got if r.n in texts} == texts
+    assert spark.createDataFrame([(None,)], "n long").select(fn.roman("n")).first()[0] is None
