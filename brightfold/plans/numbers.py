@@ -47,11 +47,14 @@ def long_bytes(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH p AS (SELECT s_suppkey AS k, s_suppkey % 10 AS x, (s_suppkey * 7) % 13 AS y FROM supplier),
 l AS (SELECT a.k, CASE WHEN b.x = a.x THEN NULL ELSE (b.y - a.y)::DOUBLE / (b.x - a.x) END AS slope, count(*) AS n FROM p a JOIN p b ON a.k <> b.k GROUP BY ALL) SELECT max(n) + 1 AS most FROM l""")
 def most_collinear(spark: SparkSession, d: str) -> DataFrame:
-    """Points on one line: by anchor and slope (in lowest terms of its float), the anchor itself counted."""
-    p = table(spark, d, "supplier").selectExpr("s_suppkey AS k", "s_suppkey % 10 AS x", "(s_suppkey * 7) % 13 AS y")
-    a, b = p.selectExpr("k AS k1", "x AS x1", "y AS y1"), p
-    lines = a.join(b, F.col("k1") != F.col("k")).groupBy("k1", F.expr("if(x = x1, null, double(y - y1) / (x - x1))").alias("slope")).agg(F.count("*").alias("n"))
-    return lines.agg((F.max("n") + 1).alias("most"))
+    """Points on one line: by anchor and slope (in lowest terms of its float), the anchor itself counted. Rows at one place are one point with
+    a count, so pairs are of places (of which these have at most 130); rows of the anchor's own key are no others."""
+    keys = table(spark, d, "supplier").where("s_suppkey IS NOT NULL").groupBy("s_suppkey").agg(F.count("*").alias("own")).selectExpr("s_suppkey % 10 AS x", "(s_suppkey * 7) % 13 AS y", "own")
+    kinds = keys.groupBy("x", "y", "own").agg(F.sum("own").alias("n"))
+    a, b = kinds.selectExpr("x AS x1", "y AS y1", "own").distinct(), kinds.groupBy("x", "y").agg(F.sum("n").alias("n"))
+    others = F.expr("own * (n - if(x = x1 AND y = y1, own, 0))")
+    lines = a.crossJoin(b).groupBy("x1", "y1", "own", F.expr("if(x = x1, null, double(y - y1) / (x - x1))").alias("slope")).agg(F.sum(others).alias("n"))
+    return lines.where("n > 0").agg((F.max("n") + 1).alias("most"))
 
 
 @query("WITH RECURSIVE c(n, c) AS (SELECT 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, c * 2 * (2 * n + 1) // (n + 2) FROM c WHERE n < 30) SELECT n, c FROM c")

@@ -220,3 +220,28 @@ def test_a_rectangle_of_many_rows(spark, tables):
                 best = max(best, run_)
     start = time.time()
     assert run(spark, "max_rectangle_sum", d) == [(best,)] and time.time() - start < 60
+
+
+def test_lines_through_many_points(spark, tables):
+    import time
+
+    n = 200_000
+    d = tables(supplier=("s_suppkey long", [(k,) for k in range(n)]))
+    places = defaultdict(int)
+    for k in range(n):
+        places[k % 10, k * 7 % 13] += 1
+    most = 0
+    for x, y in places:
+        lines = defaultdict(int)
+        for (a, b), m in places.items():
+            lines[None if a == x else (b - y) / (a - x)] += m
+        lines[None] -= 1
+        most = max(most, *lines.values())
+    start = time.time()
+    assert run(spark, "most_collinear", d) == [(most + 1,)] and time.time() - start < 60
+
+
+def test_lines_of_copies_and_of_one_point(spark, tmp_path):
+    for name, keys, want in (("one", [4], [(None,)]), ("two", [4, 134], [(2,)]), ("copies", [1, 1, 2, 12, 5, None], [(3,)])):
+        spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(str(tmp_path / name / "supplier.parquet"))
+        assert run(spark, "most_collinear", str(tmp_path / name)) == want, name
