@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -172,11 +174,18 @@ def build_tree_post(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TREE} SELECT id, COALESCE(parent, 0) AS parent FROM t")
 def serialised_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Pre-order text with # for no child, and back."""
-    t = tree(spark, d).agg(F.collect_list(F.struct("id", "path")).alias("n"))
-    text = by_row(lambda n: treerows.write({x["path"]: x["id"] for x in n}), "string")
-    back = by_row(treerows.read, "array<struct<id:bigint,parent:bigint>>")
-    return t.select(F.explode(back(text("n"))).alias("x")).select("x.*")
+    """Pre-order text with # for no child, and back: a text for each piece of twelve levels, so that none has more than 4,095 nodes."""
+    pieces = tree(spark, d).select("id", F.coalesce("parent", F.lit(0)).alias("parent"), "path", F.expr("left(path, 12 * (depth div 12))").alias("piece"))
+
+    def text(x: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"text": [treerows.write_part(dict(zip(x["path"], zip(x["id"], x["parent"]))))]})
+
+    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s in b["text"]:
+                yield pd.DataFrame(treerows.read_part(s), columns=["id", "parent"])
+
+    return pieces.groupBy("piece").applyInPandas(text, "text string").mapInPandas(back, "id long, parent long")
 
 
 @query("WITH RECURSIVE r(lo, hi, parent) AS (SELECT 1::BIGINT, count(*)::BIGINT, 0::BIGINT FROM nation UNION ALL SELECT CASE WHEN s = 0 THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN s = 0 THEN (lo + hi) // 2 - 1 ELSE hi END, (lo + hi) // 2 FROM r, range(0, 2) x(s) WHERE lo <= hi) SELECT (lo + hi) // 2 AS id, parent FROM r WHERE lo <= hi")

@@ -245,3 +245,13 @@ def test_lines_of_copies_and_of_one_point(spark, tmp_path):
     for name, keys, want in (("one", [4], [(None,)]), ("two", [4, 134], [(2,)]), ("copies", [1, 1, 2, 12, 5, None], [(3,)])):
         spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(str(tmp_path / name / "supplier.parquet"))
         assert run(spark, "most_collinear", str(tmp_path / name)) == want, name
+
+
+def test_a_tree_in_many_texts(spark, tmp_path):
+    from brightfold.operators import treerows
+
+    gone = {3, 8192 * 2 + 2}  # what is below a gap is there still
+    ids = [k for k in range(1, 40000) if k not in gone]
+    spark.createDataFrame([(k,) for k in ids], "p_partkey long").selectExpr("p_partkey", "1 AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    assert run(spark, "serialised_tree", str(tmp_path)) == [(k, k // 2) for k in ids]
+    assert treerows.write_part({"": (1, 0), "L": (2, 1), "RL": (6, 3)}) == "0 1 2 # # # 3L 6 # #"
